@@ -2,7 +2,8 @@
 
 Baskets: a sample is a customer with lineitems, a feature is a part lineage,
 its value the share (percent) of the customer's quantity, the cohort the
-region, and the condition a promo-heavy basket.
+region, and the condition a promo-heavy basket.  "fine" baskets name parts by
+type and brand (sparse), "coarse" ones by type and noun (dense).
 """
 
 from __future__ import annotations
@@ -28,20 +29,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lineage_of(part_type: str, brand: str) -> Column:
+def lineage_of(part_type: str, label: str) -> Column:
     kind = F.col(part_type)
     return F.concat(F.lit("k__part|p__all|f__"), kind, F.lit("|g__"), kind, F.lit("|s__"), kind, F.lit("_"),
-                    F.replace(F.col(brand), F.lit("#"), F.lit("_")))
+                    F.col(label))
+
+
+def part_label(data: str) -> Column:
+    if data == "coarse":
+        return F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    return F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))
 
 
 _BUILT: dict[tuple[str, str, str], CohortData] = {}
 
 
-def baskets(spark: SparkSession, folder: str) -> CohortData:
+def baskets(spark: SparkSession, folder: str, data: str = "fine") -> CohortData:
     """The basket tables, written once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder, "baskets")
+    key = (spark.sparkContext.applicationId, folder, data)
     if key not in _BUILT:
-        raw = derive_baskets(spark, folder)
+        raw = derive_baskets(spark, folder, data)
         _BUILT[key] = CohortData(settle(raw.samples), settle(raw.abundance))
     return _BUILT[key]
 
@@ -51,20 +58,20 @@ def forget() -> None:
     _BUILT.clear()
 
 
-def derive_baskets(spark: SparkSession, folder: str) -> CohortData:
+def derive_baskets(spark: SparkSession, folder: str, data: str = "fine") -> CohortData:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("sample_id"), "o_totalprice", "o_orderpriority")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    parts = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
+    parts = table(spark, folder, "part").select("p_partkey", "p_type", part_label(data).alias("p_label"))
     # the (sample, part kind) totals are formed map-side before they move
     quantity = (lines.join(orders.select("o_orderkey", "sample_id"), lines.l_orderkey == F.col("o_orderkey"))
                 .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-                .groupBy("sample_id", "p_type", "p_brand").agg(F.sum("l_quantity").alias("quantity")))
+                .groupBy("sample_id", "p_type", "p_label").agg(F.sum("l_quantity").alias("quantity")))
     totals = quantity.groupBy("sample_id").agg(
         F.sum("quantity").alias("total"),
         F.sum(F.when(F.col("p_type") == "PROMO", F.col("quantity")).otherwise(0.0)).alias("promo"))
     abundance = quantity.join(totals, "sample_id").select(
-        "sample_id", lineage_of("p_type", "p_brand").alias("feature"),
+        "sample_id", lineage_of("p_type", "p_label").alias("feature"),
         (100 * F.col("quantity") / F.col("total")).alias("value"))
     nations = (table(spark, folder, "nation")
                .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -11,12 +11,17 @@ import re
 
 from ..functions.stats import normal_two_sided_sql
 
+FINE_NAME = "replace(p_brand,'#','_')"
+COARSE_NAME = "split_part(p_name,' ',2)"
 CTE: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 
 
-def sql(body: str) -> str:
-    """Prefix ``body`` with every catalogued CTE it refers to, in dependency order."""
+def sql(body: str, data: str = "fine") -> str:
+    """Prefix ``body`` with every catalogued CTE it refers to, in dependency order.
+
+    ``data`` picks the feature granularity of the baskets.
+    """
     order: list[str] = []
 
     def visit(text: str) -> None:
@@ -29,7 +34,8 @@ def sql(body: str) -> str:
     visit(body)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in order) + "\n" + body
+    chosen = {**CTE, "lines": CTE["lines"].replace(FINE_NAME, COARSE_NAME)} if data == "coarse" else CTE
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({chosen[n]})" for n in order) + "\n" + body
 
 
 def r(expression: str, digits: int = 6) -> str:

@@ -266,9 +266,9 @@ CTE["stable"] = "SELECT * FROM stab WHERE qvalue<0.10 AND CAST(same AS DOUBLE)/t
 
 @register("stability_median", f"""
 SELECT feature, {r('coef')} AS coef, {lp('qvalue')} AS log_qvalue, tested AS cohorts_tested,
-  same AS cohorts_same_direction, {r('CAST(same AS DOUBLE)/tested')} AS stability_fraction, detail FROM stab""")
+  same AS cohorts_same_direction, {r('CAST(same AS DOUBLE)/tested')} AS stability_fraction, detail FROM stab""", "coarse")
 def stability_median(spark, folder):
-    return analysis(spark, folder).stability.select(
+    return analysis(spark, folder, "coarse").stability.select(
         "feature", _r("coef"), _lp("qvalue"), "cohorts_tested", "cohorts_same_direction",
         _r("stability_fraction"), "detail")
 
@@ -306,17 +306,17 @@ CTE["re_summary"] = """SELECT feature, count(*) AS models, count(*) FILTER (WHER
 
 @register("loco_rescreen", f"""
 SELECT design_id AS left_out, feature, {r('coef')} AS coef, {lp('pvalue')} AS log_pvalue, {lp('qvalue')} AS log_qvalue
-FROM re_fit""")
+FROM re_fit""", "coarse")
 def loco_rescreen(spark, folder):
-    return analysis(spark, folder).rescreen.select("left_out", "feature", _r("coef"), _lp("pvalue"), _lp("qvalue"))
+    return analysis(spark, folder, "coarse").rescreen.select("left_out", "feature", _r("coef"), _lp("pvalue"), _lp("qvalue"))
 
 
 @register("loco_rescreen_summary", f"""
 SELECT feature, models, same_direction_models, {r('same_fraction')} AS same_direction_fraction, fdr_models,
   {r('fdr_fraction')} AS fdr_fraction, {lp('min_q')} AS log_min_qvalue, {lp('max_q')} AS log_max_qvalue, robust
-FROM re_summary""")
+FROM re_summary""", "coarse")
 def loco_rescreen_summary(spark, folder):
-    return analysis(spark, folder).rescreen_summary.select(
+    return analysis(spark, folder, "coarse").rescreen_summary.select(
         "feature", "models", "same_direction_models", _r("same_direction_fraction"), "fdr_models",
         _r("fdr_fraction"), _lp("min_qvalue"), _lp("max_qvalue"), "robust")
 
@@ -382,9 +382,9 @@ CTE["pc_screens"] = sweep_rows("SELECT * FROM pc_config")
 @register("pseudocount_sweep", f"""
 SELECT design_id AS pseudocount_rule, {r('pc', 9)} AS pseudocount, w.* EXCLUDE (design_id)
 FROM ({sweep_summary('pc_screens')}) w
-JOIN (SELECT DISTINCT config_id, pc FROM pc_config) ON config_id=design_id""")
+JOIN (SELECT DISTINCT config_id, pc FROM pc_config) ON config_id=design_id""", "coarse")
 def pseudocount_sweep(spark, folder):
-    a = analysis(spark, folder)
+    a = analysis(spark, folder, "coarse")
     return sweeps.pseudocount_sweep(a.samples, a.abundance, a.features, a.association, a.median_gaps).select(
         "pseudocount_rule", _r("pseudocount", 9), "retained_features", "fdr_lt_0_10", "fdr_lt_0_05", "top_overlap",
         "common_features", _r("direction_concordance"), "stable_candidates")
@@ -395,9 +395,9 @@ SELECT c AS fdr_cutoff, t AS same_direction_threshold,
   count(*) FILTER (WHERE qvalue<c AND CAST(same AS DOUBLE)/tested>=t) AS candidate_count,
   count(*) FILTER (WHERE qvalue<c AND CAST(same AS DOUBLE)/tested>=t AND coef>0) AS case_higher,
   count(*) FILTER (WHERE qvalue<c AND CAST(same AS DOUBLE)/tested>=t AND coef<0) AS control_higher
-FROM stab, (SELECT unnest([0.05,0.10])::DOUBLE AS c), (SELECT unnest([0.5,0.6,0.7,0.8])::DOUBLE AS t) GROUP BY 1,2""")
+FROM stab, (SELECT unnest([0.05,0.10])::DOUBLE AS c), (SELECT unnest([0.5,0.6,0.7,0.8])::DOUBLE AS t) GROUP BY 1,2""", "coarse")
 def stability_threshold_sweep(spark, folder):
-    return sweeps.stability_threshold_sweep(analysis(spark, folder).stability)
+    return sweeps.stability_threshold_sweep(analysis(spark, folder, "coarse").stability)
 
 
 @register("screen_vs_baseline", f"""
@@ -410,10 +410,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY qvalue NULLS LAST, pvalue NULLS LAST
 LEFT JOIN (SELECT *, row_number() OVER (ORDER BY qvalue NULLS LAST, pvalue NULLS LAST, feature) AS brk FROM assoc) b
   ON b.feature=n.feature
 LEFT JOIN (SELECT w.feature, avg(CAST(sign(diff)=sign(coef) AND sign(coef)<>0 AS DOUBLE)) AS same
-  FROM association_null w JOIN gaps g ON g.feature=w.feature GROUP BY 1) st ON st.feature=n.feature""")
+  FROM association_null w JOIN gaps g ON g.feature=w.feature GROUP BY 1) st ON st.feature=n.feature""", "coarse")
 def screen_vs_baseline(spark, folder):
     """Another condition's screen summarised against the baseline screen."""
-    a = analysis(spark, folder)
+    a = analysis(spark, folder, "coarse")
     samples = a.samples.withColumn("condition", F.col("platform").isin("BUILDING", "MACHINERY").cast("int"))
     other = moments.association_screen(
         moments.clr_moments(samples, a.abundance, a.features), moments.cohort_counts(samples))

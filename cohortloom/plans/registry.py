@@ -12,24 +12,24 @@ from .oracle import ORACLE, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-_ANALYSES: dict[tuple[str, str], CohortAnalysis] = {}
+_ANALYSES: dict[tuple[str, str, str], CohortAnalysis] = {}
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, oracle: str | None = None, data: str = "fine") -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         QUERIES[name] = function
         if oracle is not None:
-            ORACLE[name] = sql(oracle)
+            ORACLE[name] = sql(oracle, data)
         return function
     return add
 
 
-def analysis(spark: SparkSession, folder: str) -> CohortAnalysis:
+def analysis(spark: SparkSession, folder: str, data: str = "fine") -> CohortAnalysis:
     """The basket analysis of a folder; its tables are shared by the queries of a session."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, data)
     if key not in _ANALYSES:
-        data = baskets(spark, folder)
-        _ANALYSES[key] = CohortAnalysis(data.samples, data.abundance, PREVALENCE, MIN_COHORTS)
+        baskets_ = baskets(spark, folder, data)
+        _ANALYSES[key] = CohortAnalysis(baskets_.samples, baskets_.abundance, PREVALENCE, MIN_COHORTS)
     return _ANALYSES[key]
 
 
