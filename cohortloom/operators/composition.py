@@ -92,12 +92,12 @@ def dense_clr(samples: DataFrame, abundance: DataFrame, features: DataFrame, mul
     logs = shifted_logs(kept, pseudocount(kept, multiplier).scalar())
     names = features.agg(F.array_sort(F.collect_list("feature"))).scalar()
     entries = logs.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "u"))).alias("_m"))
-    filled = (samples.join(entries, "sample_id", "left")
-              .withColumn("_u", F.transform(names, lambda f: F.coalesce(
+    filled = (samples.join(entries, "sample_id", "left").withColumn("_names", names)
+              .withColumn("_u", F.transform("_names", lambda f: F.coalesce(
                   F.try_element_at(F.col("_m"), f), F.lit(0.0)))))
     total = F.aggregate("_u", F.lit(0.0), lambda a, b: a + b)
     return (filled.withColumn("_s", total / F.size("_u"))
-            .withColumn("x", F.transform("_u", lambda u: u - F.col("_s"))).drop("_u", "_s", "_m"))
+            .withColumn("x", F.transform("_u", lambda u: u - F.col("_s"))).drop("_u", "_s", "_m", "_names"))
 
 
 def closure(abundance: DataFrame) -> DataFrame:
