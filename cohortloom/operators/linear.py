@@ -120,6 +120,41 @@ def _products(design_rows: DataFrame, logs: DataFrame, features: DataFrame, size
     return joined.select("feature", F.zip_with(F.coalesce("_f", empty), F.col("_b"), lambda a, b: a - b).alias("v"))
 
 
+def score_screen(design: Design, scores: DataFrame) -> DataFrame:
+    """The covariate screen for dense scores ``(sample_id, feature, score)``."""
+    rows = settle(design.rows)
+    inverse = _inverse(gram(rows))
+    weights = settle(_with_weights(rows, inverse, design))
+    meat, unknown, n = _meat(weights, inverse)
+    y, w = F.col("score"), F.nanvl("w", F.lit(0.0))
+    stacked = F.concat(F.transform("z", lambda v: v * y), F.array(y * y),
+                       F.transform("z", lambda v: v * y * w), F.array(y * y * w))
+    products = weights.join(scores, "sample_id").groupBy("feature").agg(vector_sum(stacked).alias("v"))
+    return _fit(products, design, inverse, meat, n, unknown)
+
+
+def _with_weights(rows: DataFrame, inverse: np.ndarray, design: Design) -> DataFrame:
+    kind = rows.schema["sample_id"].dataType.simpleString()
+    return rows.mapInPandas(_leverage_weights(inverse, design.names.index("condition")),
+                            f"sample_id {kind}, z array<double>, w double")
+
+
+def _meat(weights: DataFrame, inverse: np.ndarray) -> tuple[np.ndarray, bool, int]:
+    """Weighted cross products of the design, whether an error is unknown, and n."""
+    z, w = F.col("z"), F.nanvl("w", F.lit(0.0))
+    outer = F.flatten(F.transform(z, lambda a: F.transform(z, lambda b: a * b * w)))
+    got = weights.agg(vector_sum(outer).alias("g"), F.count_if(F.isnan("w")).alias("u"), F.count(F.lit(1)).alias("n")).first()
+    return np.asarray(got["g"]).reshape(inverse.shape), got["u"] > 0, got["n"]
+
+
+def _fit(products: DataFrame, design: Design, inverse: np.ndarray, meat: np.ndarray, n: int, unknown: bool) -> DataFrame:
+    fitted = products.mapInPandas(_coefficients(inverse, meat, design.names.index("condition"), n, unknown),
+                                  "feature string, coef double, se double")
+    out = fitted.select("feature", F.nanvl("coef", F.lit(None)).alias("coef"), F.nanvl("se", F.lit(None)).alias("se"))
+    return (out.withColumn("_z", F.col("coef") / F.nullif("se", F.lit(0.0)))
+            .withColumn("pvalue", normal_two_sided("_z")).drop("_z"))
+
+
 class LinearScreens:
     """Screens and variance shares of one data set for chosen designs."""
 
@@ -133,20 +168,10 @@ class LinearScreens:
         """Condition coefficient with HC3 error for every feature under the design."""
         rows = settle(design.rows)
         inverse = _inverse(gram(rows))
-        target = design.names.index("condition")
-        weights = settle(rows.mapInPandas(_leverage_weights(inverse, target), "sample_id %s, z array<double>, w double" % (
-            rows.schema["sample_id"].dataType.simpleString())))
-        n = rows.agg(F.count(F.lit(1))).first()[0]
-        z = F.col("z")
-        outer = F.flatten(F.transform(z, lambda a: F.transform(z, lambda b: a * b * F.col("w"))))
-        meat = np.asarray(weights.filter("NOT isnan(w)").select(vector_sum(outer).alias("g")).first()["g"]).reshape(inverse.shape)
-        unknown = weights.filter("isnan(w)").limit(1).count() > 0
+        weights = settle(_with_weights(rows, inverse, design))
+        meat, unknown, n = _meat(weights, inverse)
         products = _products(weights.withColumn("w", F.nanvl("w", F.lit(0.0))), self.logs, self.features, self.size, True)
-        fitted = products.mapInPandas(_coefficients(inverse, meat, target, n, unknown),
-                                      "feature string, coef double, se double")
-        out = fitted.select("feature", F.nanvl("coef", F.lit(None)).alias("coef"), F.nanvl("se", F.lit(None)).alias("se"))
-        return (out.withColumn("_z", F.col("coef") / F.nullif("se", F.lit(0.0)))
-                .withColumn("pvalue", normal_two_sided("_z")).drop("_z"))
+        return _fit(products, design, inverse, meat, n, unknown)
 
     def shares(self, design: Design) -> "VarianceShares":
         rows = settle(design.rows)
