@@ -88,3 +88,22 @@ def derive_baskets(spark: SparkSession, folder: str, data: str = "fine") -> Coho
         F.col("fine_cohort").alias("country"), F.col("c_mktsegment").alias("platform"),
         F.col("c_acctbal").alias("score")))
     return CohortData(samples, abundance)
+
+
+def token_shares(spark: SparkSession, folder: str) -> CohortData:
+    """Labelled documents as samples and the share (percent) of each token."""
+    key = (spark.sparkContext.applicationId, folder, "tokens")
+    if key not in _BUILT:
+        labelled = table(spark, folder, "documents").select("doc_id", "text", "lang").join(
+            table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+        counts = (labelled.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("cohort"),
+                                  F.col("quality").alias("condition"),
+                                  F.explode(F.split("text", "[ \n\t\r]+")).alias("feature"))
+                  .filter("feature <> ''").groupBy("sample_id", "cohort", "condition", "feature")
+                  .agg(F.count(F.lit(1)).alias("n")))
+        counts = settle(counts)
+        totals = counts.groupBy("sample_id", "cohort", "condition").agg(F.sum("n").alias("total"))
+        abundance = counts.join(totals.select("sample_id", "total"), "sample_id").select(
+            "sample_id", "feature", (F.lit(100.0) * F.col("n") / F.col("total")).alias("value"))
+        _BUILT[key] = CohortData(settle(totals.drop("total")), settle(abundance))
+    return _BUILT[key]

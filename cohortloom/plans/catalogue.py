@@ -1,6 +1,6 @@
 """Imports every query module so that its queries are registered."""
 
-from . import queries_linear, queries_screen, queries_transfer  # noqa: F401
+from . import queries_evidence, queries_linear, queries_screen, queries_transfer  # noqa: F401
 from .oracle import ORACLE
 from .registry import QUERIES
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .analysis import CohortAnalysis
-from .basket import MIN_COHORTS, PREVALENCE, baskets
+from .basket import MIN_COHORTS, PREVALENCE, baskets, token_shares
 from .oracle import ORACLE, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,12 @@ def analysis(spark: SparkSession, folder: str, data: str = "fine") -> CohortAnal
 
 def forget_analyses() -> None:
     _ANALYSES.clear()
+
+
+def document_analysis(spark: SparkSession, folder: str) -> CohortAnalysis:
+    """Labelled documents: cohort = language, condition = quality, feature = token."""
+    key = (spark.sparkContext.applicationId, folder, "documents")
+    if key not in _ANALYSES:
+        data = token_shares(spark, folder)
+        _ANALYSES[key] = CohortAnalysis(data.samples, data.abundance, 0.05, 1)
+    return _ANALYSES[key]
