@@ -11,11 +11,17 @@ samples x features grid is never built.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.lineage import genus, species
 from ..functions.stats import ratio
+from ..session import spread
 from .ranking import grouped_quantiles
 
 
@@ -86,18 +92,30 @@ def clr_rows(samples: DataFrame, abundance: DataFrame, features: DataFrame, mult
 def dense_clr(samples: DataFrame, abundance: DataFrame, features: DataFrame, multiplier: float = 0.5) -> DataFrame:
     """Every sample as one array ``x`` in feature order, for the model fits.
 
-    Row mean included; the array is as long as the retained feature list.
+    The array is as long as the retained feature list.
     """
     kept = keep_features(abundance, features)
     logs = shifted_logs(kept, pseudocount(kept, multiplier).scalar())
-    names = features.agg(F.array_sort(F.collect_list("feature"))).scalar()
-    entries = logs.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "u"))).alias("_m"))
-    filled = (samples.join(entries, "sample_id", "left").withColumn("_names", names)
-              .withColumn("_u", F.transform("_names", lambda f: F.coalesce(
-                  F.try_element_at(F.col("_m"), f), F.lit(0.0)))))
-    total = F.aggregate("_u", F.lit(0.0), lambda a, b: a + b)
-    return (filled.withColumn("_s", total / F.size("_u"))
-            .withColumn("x", F.transform("_u", lambda u: u - F.col("_s"))).drop("_u", "_s", "_m", "_names"))
+    names = features.agg(F.array_sort(F.collect_list("feature")).alias("_names"))
+    places = names.select(F.posexplode("_names").alias("_i", "feature"))
+    width = features.count()
+    sparse = logs.join(places, "feature").groupBy("sample_id").agg(
+        F.collect_list(F.struct("_i", "u")).alias("_entries"))
+    rows = spread(samples.join(sparse, "sample_id", "left"), "sample_id").select(
+        *samples.columns, F.coalesce(F.col("_entries._i"), F.array().cast("array<int>")).alias("_at"),
+        F.coalesce(F.col("_entries.u"), F.array().cast("array<double>")).alias("_u"))
+    schema = StructType([*samples.schema.fields, StructField("x", ArrayType(DoubleType()))])
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.zeros((len(batch), width))
+            if len(batch):
+                line = np.repeat(np.arange(len(batch)), batch["_at"].map(len))
+                x[line, np.concatenate(batch["_at"].to_numpy()).astype(int)] = np.concatenate(batch["_u"].to_numpy())
+            x -= x.mean(axis=1, keepdims=True)
+            yield batch.drop(columns=["_at", "_u"]).assign(x=list(x))
+
+    return rows.mapInPandas(fill, schema)
 
 
 def closure(abundance: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..functions.stats import normal_two_sided
-from ..session import settle
+from ..session import settle, spread
 from .composition import keep_features, pseudocount, shifted_logs
 from .ranking import row_numbers
 
@@ -286,7 +286,7 @@ def permuted_terms(design: Design, term: str, permutations: int, seed: int, with
     base = design.rows.select("sample_id", group.alias("_g"), own.alias("_own")).withColumn(
         "_d", draw(seed, "order", F.col("sample_id")))
     indexed = settle(row_numbers(base, ["_g"], "_d", "sample_id", "_k").drop("_d"))
-    drawn = (indexed.select("sample_id", "_g", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    drawn = (spread(indexed, "sample_id").select("sample_id", "_g", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
              .withColumn("_d", draw(seed, f"permute_{term}", F.col("perm"), F.col("sample_id"))))
     placed = row_numbers(drawn, ["perm", "_g"], "_d", "sample_id", "_k").drop("_d")
     return (placed.join(indexed.select("_g", "_k", "_own"), ["_g", "_k"])
@@ -294,59 +294,75 @@ def permuted_terms(design: Design, term: str, permutations: int, seed: int, with
                 F.array_sort(F.collect_list(F.struct("perm", "_own"))), lambda p: p["_own"])).alias("zp")))
 
 
-def permutation_f(shares: VarianceShares, profiles: DataFrame, term: str, given: Sequence[str], permutations: int,
-                  seed: int, within_cohort: bool) -> DataFrame:
-    """(perm, pseudo_f) with only the term's columns permuted.
-
-    ``profiles`` has (sample_id, x).  A task multiplies its samples' permuted
-    columns with their profiles; the sums over tasks are added per permutation.
-    """
-    design = shares.design
-    keep = design.columns_of(given)
-    own = [i for i, t in enumerate(design.terms) if t == term]
-    k, q = len(own), len(keep)
-    joined = permuted_terms(design, term, permutations, seed, within_cohort).join(
-        design.rows.select("sample_id", "z"), "sample_id").join(profiles.select("sample_id", "x"), "sample_id")
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, z = np.stack(batch["x"].to_numpy()), np.stack(batch["z"].to_numpy())[:, keep]
-            zp = np.stack(batch["zp"].to_numpy()).reshape(len(batch), permutations, k)
-            wide = np.hstack([z, x])
-            cross = np.einsum("npk,nf->pkf", zp, wide, optimize=True).reshape(permutations, -1)
-            inner = np.einsum("npk,npl->pkl", zp, zp, optimize=True).reshape(permutations, -1)
-            part = np.hstack([cross, inner])
-            total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"perm": np.arange(1, permutations + 1), "v": list(total)})
-
-    base = joined.select(vector_sum(F.flatten(F.transform(
-        F.array(*[F.element_at("z", i + 1) for i in keep]), lambda a: F.transform("x", lambda v: v * a)))).alias("b")).first()["b"]
-    zy = np.asarray(base).reshape(q, -1)
-    zz = shares.zz[np.ix_(keep, keep)]
-    reduced, rank_reduced = shares.rss_rank(given)
-    yy, n = shares.yy, shares.n
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for v in batch["v"]:
-                v = np.asarray(v)
-                cross = v[:k * (q + zy.shape[1])].reshape(k, -1)
-                inner = v[k * (q + zy.shape[1]):].reshape(k, k)
-                full = np.block([[zz, cross[:, :q].T], [cross[:, :q], inner]])
-                stacked = np.vstack([zy, cross[:, q:]])
-                rss = yy - float(np.sum(_inverse(full) * (stacked @ stacked.T)))
-                rank = _rank(full)
-                df_term, df_residual = rank - rank_reduced, n - rank
-                out.append(((reduced - rss) / df_term) / (rss / df_residual) if df_term > 0 and df_residual > 0 else np.nan)
-            yield pd.DataFrame({"perm": batch["perm"], "pseudo_f": out})
-
-    sums = joined.mapInPandas(partial, "perm int, v array<double>").groupBy("perm").agg(vector_sum(F.col("v")).alias("v"))
-    return sums.mapInPandas(finish, "perm int, pseudo_f double")
+class PermutationStudy:
+    """Permutation nulls of the terms of one design; ``profiles`` has (sample_id, x)."""
+
+    def __init__(self, shares: VarianceShares, profiles: DataFrame):
+        self.shares = shares
+        self.rows = settle(spread(
+            shares.design.rows.select("sample_id", "z").join(profiles.select("sample_id", "x"), "sample_id"), "sample_id"))
+        p = len(shares.design.names)
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
+            for batch in batches:
+                if len(batch):
+                    total = total + np.stack(batch["z"].to_numpy()).T @ np.stack(batch["x"].to_numpy())
+            if np.ndim(total):
+                yield pd.DataFrame({"v": [total.ravel()]})
+
+        sums = self.rows.mapInPandas(partial, "v array<double>").select(vector_sum(F.col("v")).alias("v")).first()["v"]
+        self.zy = np.asarray(sums).reshape(p, -1)
+
+    def pseudo_f(self, term: str, given: Sequence[str], permutations: int, seed: int, within_cohort: bool) -> DataFrame:
+        """(perm, pseudo_f) with only the term's columns permuted.
+
+        A task multiplies its samples' permuted columns with their profiles; the
+        sums over tasks are added per permutation.
+        """
+        shares, design = self.shares, self.shares.design
+        keep = design.columns_of(given)
+        k, q = sum(t == term for t in design.terms), len(keep)
+        joined = permuted_terms(design, term, permutations, seed, within_cohort).join(self.rows, "sample_id")
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
+            for batch in batches:
+                if not len(batch):
+                    continue
+                wide = np.hstack([np.stack(batch["z"].to_numpy())[:, keep], np.stack(batch["x"].to_numpy())])
+                zp = np.stack(batch["zp"].to_numpy())
+                cross = (zp.T @ wide).reshape(permutations, -1)
+                cube = zp.reshape(len(batch), permutations, k).transpose(1, 2, 0)
+                inner = (cube @ cube.transpose(0, 2, 1)).reshape(permutations, -1)
+                total = total + np.hstack([cross, inner])
+            if np.ndim(total):
+                yield pd.DataFrame({"perm": np.arange(1, permutations + 1), "v": list(total)})
+
+        zy, zz = self.zy[keep], shares.zz[np.ix_(keep, keep)]
+        reduced, rank_reduced = shares.rss_rank(given)
+        yy, n = shares.yy, shares.n
+
+        def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for v in batch["v"]:
+                    v = np.asarray(v)
+                    cross = v[:k * (q + zy.shape[1])].reshape(k, -1)
+                    inner = v[k * (q + zy.shape[1]):].reshape(k, k)
+                    full = np.block([[zz, cross[:, :q].T], [cross[:, :q], inner]])
+                    stacked = np.vstack([zy, cross[:, q:]])
+                    rss = yy - float(np.sum(_inverse(full) * (stacked @ stacked.T)))
+                    rank = _rank(full)
+                    df_term, df_residual = rank - rank_reduced, n - rank
+                    usable = df_term > 0 and df_residual > 0
+                    out.append(((reduced - rss) / df_term) / (rss / df_residual) if usable else None)
+                yield pd.DataFrame({"perm": batch["perm"], "pseudo_f": pd.Series(out, dtype="float64")})
+
+        sums = joined.mapInPandas(partial, "perm int, v array<double>").groupBy("perm").agg(
+            vector_sum(F.col("v")).alias("v"))
+        fitted = sums.mapInPandas(finish, "perm int, pseudo_f double")
+        return fitted.withColumn("pseudo_f", F.nanvl("pseudo_f", F.lit(None)))
 
 
 def principal_components(profiles: DataFrame, k: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import normal_two_sided, ratio
 from ..session import settle
 
-BUCKETS_PER_OCTAVE = 256
+BUCKETS_PER_OCTAVE = 64
 
 
 def order_bucket(value: Column) -> Column:
@@ -29,6 +29,11 @@ def order_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value.cast("double")) * code).cast("bigint")
 
 
+def draw_bucket(value: Column) -> Column:
+    """One of 64 equal ranges of a uniform 60-bit draw."""
+    return F.shiftright(value, 54)
+
+
 def _bucket_offsets(rows: DataFrame, keys: list[str], measures: Sequence[str]) -> DataFrame:
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +50,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Seq
     keys = list(keys)
     distinct = (df.filter(F.col(value).isNotNull())
                 .groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
-                .withColumn("_bucket", order_bucket(F.col(value))))
+                .withColumn("_bucket", F.coalesce(order_bucket(F.col(value)), F.lit(0))))
     within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     joined = distinct.join(_bucket_offsets(distinct, keys, measures), [*keys, "_bucket"])
     for m in measures:
@@ -59,11 +64,16 @@ def row_numbers(df: DataFrame, keys: Sequence[str], value: str, tie: str, name:
                 descending: bool = False) -> DataFrame:
     """Exact ``row_number`` by (value, tie) inside each group, all rows kept.
 
-    Use a keyed draw for ``value`` or ``tie`` where many rows may be equal.
+    A bigint ``value`` is taken as a keyed draw.  Order by a draw where many rows
+    may be equal otherwise.
     """
     keys = list(keys)
-    order = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    rows = df.withColumn("_one", F.lit(1)).withColumn("_bucket", order_bucket(order))
+    if df.schema[value].dataType.simpleString() == "bigint" and not descending:
+        bucket = draw_bucket(F.col(value))
+    else:
+        number = F.col(value).cast("double")
+        bucket = order_bucket(-number if descending else number)
+    rows = df.withColumn("_one", F.lit(1)).withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
     within = Window.partitionBy(*keys, "_bucket").orderBy(
         F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc())
     offsets = _bucket_offsets(rows, keys, ["_one"]).drop("_one_total")
@@ -95,7 +105,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilit
     keys = list(keys)
     count = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     distinct = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.cast("bigint").alias("_c"))
-                .filter("_c > 0").withColumn("_bucket", order_bucket(F.col(value))))
+                .filter("_c > 0").withColumn("_bucket", F.coalesce(order_bucket(F.col(value)), F.lit(0))))
     offsets = _bucket_offsets(distinct, keys, ["_c"])
     wanted = []
     for i, p in enumerate(probabilities):

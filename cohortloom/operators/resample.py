@@ -12,19 +12,51 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from ..functions.stats import ratio, signed_rank_exact
 from ..functions.stats import normal_two_sided
-from ..session import settle
+from ..session import settle, spread
 from .linear import vector_sum
-from .ranking import class_rank_metrics, grouped_quantiles, row_numbers
+from .ranking import class_rank_metrics, draw_bucket, grouped_quantiles, row_numbers
+
+
+def label_cuts(samples: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(cohort, cuts): per permutation the largest (draw, sample) that is a case.
+
+    Shuffling labels inside a cohort gives label 1 to its n_case smallest draws.
+    Bucket counts find the bucket of the last of them, and only that bucket's
+    rows are ordered; a cohort keeps one cut per permutation.
+    """
+    drawn = (spread(samples.select("sample_id", "cohort"), "sample_id")
+             .select("sample_id", "cohort", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+             .withColumn("_d", draw(seed, "label", F.col("perm"), F.col("sample_id")))
+             .withColumn("_b", draw_bucket(F.col("_d"))))
+    cases = samples.groupBy("cohort").agg(F.sum("condition").alias("_cases"))
+    upto = Window.partitionBy("perm", "cohort").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (drawn.groupBy("perm", "cohort", "_b").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_end", F.sum("_n").over(upto)).join(cases, "cohort")
+              .filter((F.col("_cases") <= F.col("_end")) & (F.col("_cases") > F.col("_end") - F.col("_n")))
+              .select("perm", "cohort", "_b", (F.col("_cases") - F.col("_end") + F.col("_n")).alias("_k")))
+    inside = Window.partitionBy("perm", "cohort", "_b").orderBy("_d", "sample_id")
+    cut = (drawn.join(counts, ["perm", "cohort", "_b"]).withColumn("_r", F.row_number().over(inside))
+           .filter(F.col("_r") == F.col("_k")))
+    return cut.groupBy("cohort").agg(F.array_sort(F.collect_list(F.struct("perm", "_d", "sample_id"))).alias("cuts"))
+
+
+def label_arrays(samples: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(sample_id, cohort, labels): a sample's label in every permutation."""
+    rows = spread(samples.select("sample_id", "cohort"), "sample_id").join(settle(label_cuts(samples, permutations, seed)), "cohort", "left")
+
+    def is_case(cut: Column) -> Column:
+        d = draw(seed, "label", cut["perm"], F.col("sample_id"))
+        return ((d < cut["_d"]) | ((d == cut["_d"]) & (F.col("sample_id") <= cut["sample_id"]))).cast("int")
+
+    return rows.select("sample_id", "cohort", F.coalesce(
+        F.transform("cuts", is_case), F.array_repeat(F.lit(0), permutations)).alias("labels"))
 
 
 def permuted_labels(samples: DataFrame, permutations: int, seed: int) -> DataFrame:
     """(perm, sample_id, label): condition shuffled inside each cohort, counts kept."""
-    cases = samples.groupBy("cohort").agg(F.sum("condition").alias("_cases"))
-    drawn = (samples.select("sample_id", "cohort", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-             .withColumn("_d", draw(seed, "label", F.col("perm"), F.col("sample_id"))))
-    ranked = row_numbers(drawn, ["perm", "cohort"], "_d", "sample_id", "_k")
-    return ranked.join(cases, "cohort").select(
-        "perm", "sample_id", "cohort", (F.col("_k") <= F.col("_cases")).cast("int").alias("label"))
+    return label_arrays(samples, permutations, seed).select(
+        "sample_id", "cohort", F.posexplode("labels").alias("_p", "label")).select(
+        (F.col("_p") + 1).alias("perm"), "sample_id", "cohort", "label")
 
 
 def permuted_column(samples: DataFrame, column: str, permutations: int, seed: int) -> DataFrame:
@@ -32,7 +64,7 @@ def permuted_column(samples: DataFrame, column: str, permutations: int, seed: in
     base = samples.select("sample_id", F.col(column).alias("value"), F.lit(0).alias("_g")).withColumn(
         "_d", draw(seed, "order", F.col("sample_id")))
     indexed = settle(row_numbers(base, ["_g"], "_d", "sample_id", "_k").drop("_d", "_g"))
-    drawn = (indexed.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    drawn = (spread(indexed, "sample_id").select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
              .withColumn("_d", draw(seed, f"permute_{column}", F.col("perm"), F.col("sample_id"))))
     placed = row_numbers(drawn, ["perm"], "_d", "sample_id", "_k").drop("_d")
     return placed.join(indexed.select("_k", "value"), "_k").select("perm", "sample_id", "value")
@@ -45,8 +77,7 @@ def label_permutation_test(samples: DataFrame, profiles: DataFrame, permutations
     sums of cases and controls opposite, so a permutation needs the case sum only;
     a task multiplies its labels with its profiles and the sums are added up.
     """
-    labels = permuted_labels(samples, permutations, seed).groupBy("sample_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("perm", "label"))), lambda p: p["label"].cast("double")).alias("_labels"))
+    labels = label_arrays(samples, permutations, seed).select("sample_id", F.col("labels").cast("array<double>").alias("_labels"))
     rows = profiles.join(labels, "sample_id")
     cohort_sums = profiles.groupBy("cohort").agg(vector_sum(F.col("x")).alias("_t"), F.count(F.lit(1)).alias("_n"))
     centred = rows.join(cohort_sums, "cohort").select(
@@ -93,7 +124,7 @@ def bootstrap_auroc(scored: DataFrame, keys: Sequence[str], score: str, label: s
         scored.select(*keys, row_key, score, label).withColumn("_d", draw(seed, "order", F.col(row_key))),
         keys, "_d", row_key, "_i").drop("_d"))
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = (indexed.join(sizes, keys)
+    drawn = (spread(indexed.join(sizes, keys), "_i")
              .select(*keys, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
              .withColumn("_i", 1 + F.pmod(draw(seed, "bootstrap", *[F.col(k) for k in keys], F.col("replicate"),
                                                F.col("_i")), F.col("_n")))

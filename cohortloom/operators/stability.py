@@ -19,12 +19,12 @@ def with_zero_counts(samples: DataFrame, abundance: DataFrame, features: DataFra
     The implicit zeros of a group are its sample count less its non-zero rows.
     """
     by = list(by)
-    positives = (keep_features(abundance, features).filter("value > 0")
-                 .join(samples.select("sample_id", *by), "sample_id")
-                 .groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("weight")))
+    present = (keep_features(abundance, features).filter("value > 0")
+               .join(samples.select("sample_id", *by), "sample_id"))
+    positives = present.select("feature", *by, "value", F.lit(1).cast("bigint").alias("weight"))
     cells = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.collect_list(F.struct(*by, "_n"))).scalar()
-    seen = positives.groupBy("feature", *by).agg(F.sum("weight").alias("_seen"))
+    seen = present.groupBy("feature", *by).agg(F.count(F.lit(1)).alias("_seen"))
     zeros = (features.select("feature", F.explode(cells).alias("_c")).select("feature", "_c.*")
              .join(seen, ["feature", *by], "left")
              .select("feature", *by, F.lit(0.0).alias("value"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
-from ..session import settle
+from ..session import settle, spread
 from .elasticnet import Fitted, Model, coefficient_table, fit_models, predictions
 from .ranking import class_rank_metrics
 from .resample import stratified_folds
@@ -27,7 +27,8 @@ class TransferStudy:
     def __init__(self, profiles: DataFrame, names: Sequence[str], seed: int = 42):
         self.names = list(names)
         folds = stratified_folds(profiles.select("sample_id", "cohort", "condition"), seed).select("sample_id", "fold")
-        self.rows = settle(profiles.select("sample_id", "cohort", "condition", "x").join(folds, "sample_id"))
+        self.rows = settle(spread(
+            profiles.select("sample_id", "cohort", "condition", "x").join(folds, "sample_id"), "sample_id"))
         counts = self.rows.groupBy("cohort").agg(
             F.sum("condition").alias("n1"), F.count(F.lit(1)).alias("n")).collect()
         self.sizes = {r["cohort"]: (int(r["n1"]), int(r["n"] - r["n1"])) for r in counts}

@@ -67,6 +67,7 @@ def derive_baskets(spark: SparkSession, folder: str, data: str = "fine") -> Coho
     quantity = (lines.join(orders.select("o_orderkey", "sample_id"), lines.l_orderkey == F.col("o_orderkey"))
                 .join(parts, F.col("l_partkey") == F.col("p_partkey"))
                 .groupBy("sample_id", "p_type", "p_label").agg(F.sum("l_quantity").alias("quantity")))
+    quantity = settle(quantity)
     totals = quantity.groupBy("sample_id").agg(
         F.sum("quantity").alias("total"),
         F.sum(F.when(F.col("p_type") == "PROMO", F.col("quantity")).otherwise(0.0)).alias("promo"))

@@ -333,12 +333,12 @@ def first_per_key(spark, folder):
 
 
 @register("key_match", """
-SELECT coalesce(c.c_custkey, o.o_custkey) AS sample_id, CASE WHEN c.c_custkey IS NULL THEN 'left' ELSE 'right' END AS missing_in
-FROM customer c FULL JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o.o_custkey=c.c_custkey
-WHERE c.c_custkey IS NULL OR o.o_custkey IS NULL""")
+SELECT coalesce(p.p_partkey, c.c_custkey) AS sample_id, CASE WHEN p.p_partkey IS NULL THEN 'left' ELSE 'right' END AS missing_in
+FROM part p FULL JOIN customer c ON c.c_custkey=p.p_partkey WHERE p.p_partkey IS NULL OR c.c_custkey IS NULL""")
 def key_match(spark, folder):
-    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("sample_id"))
-    right = table(spark, folder, "orders").select(F.col("o_custkey").alias("sample_id"))
+    """Keys of two tables that lack a partner."""
+    left = table(spark, folder, "part").select(F.col("p_partkey").alias("sample_id"))
+    right = table(spark, folder, "customer").select(F.col("c_custkey").alias("sample_id"))
     return relational.unmatched_keys(left, right, "sample_id")
 
 

@@ -228,12 +228,12 @@ def variance_partition_permutation(spark, folder):
     """Permutation p of every term given the others (no SQL: one model per draw)."""
     a, screens, complete = share_objects(spark, folder)
     shares = screens.shares(complete)
-    profiles = settle(composition.dense_clr(a.samples, a.abundance, a.features).select("sample_id", "x"))
+    study = linear.PermutationStudy(shares, composition.dense_clr(a.samples, a.abundance, a.features))
     order = ["cohort", "condition", "age", "bmi", "gender"]
     out = None
     for term in order:
         given = [t for t in order if t != term]
-        null = linear.permutation_f(shares, profiles, term, given, PERMUTATIONS, SEED, term == "condition")
+        null = study.pseudo_f(term, given, PERMUTATIONS, SEED, term == "condition")
         observed = shares.term(term, given)["pseudo_f"]
         part = resample.empirical_p(null, F.lit(observed), "pseudo_f").select(
             F.lit(term).alias("term"), rounded(F.lit(observed)).alias("pseudo_f"), "replicates",

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[SparkSession, str] = {}
 
@@ -36,6 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[spark]
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed over at least one partition per core.
+
+    For steps whose work per row is far larger than the row, which size-based
+    coalescing would otherwise pack into a few tasks.
+    """
+    spark = df.sparkSession
+    partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # hashing the hash: Spark drops a repartition its input already satisfies, and then coalesces
+    return df.repartition(partitions, F.xxhash64(F.col(key)))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table that several branches of a plan read, and read it back.
 
