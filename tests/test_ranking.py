@@ -28,8 +28,9 @@ def test_bh_matches_definition_with_ties_nulls_and_families(spark):
 
 
 def test_bh_replays_published_pairs(spark):
-    """P and q of three panels under one exclusion."""
-    p, q = [0.001, 0.02, 0.5], [0.003, 0.03, 0.5]
+    """Published p and q of three panels under one exclusion."""
+    p = [5.716939123315892e-15, 7.907260204766005e-08, 0.0422893949293557]
+    q = [1.7150817369947674e-14, 1.1860890307149009e-07, 0.0422893949293557]
     out = ranking.bh_adjust(spark.createDataFrame([(v,) for v in p], "p double"), "p", "q").orderBy("p").collect()
     assert [r.q for r in out] == pytest.approx(q)
 
