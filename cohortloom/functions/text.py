@@ -11,20 +11,60 @@ def safe_number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def _with(expression: Column, use) -> Column:
+    """Evaluate an expression once and use it several times."""
+    return F.transform(F.array(expression), use)[0]
+
+
+def decimals(value: Column, digits: int) -> Column:
+    """Fixed digits of the exact binary value, ties to even (the formatter works on
+    the shortest decimal instead and turns 4508.15 into 4508.2).
+
+    A double is an integer times a power of two, so integer division decides.
+    """
+    ten = 10 ** digits
+
+    def text_of(part: Column) -> Column:
+        whole, twice, unit = part["whole"], 2 * part["rest"], part["unit"]
+        units = whole + ((twice > unit) | ((twice == unit) & (whole % 2 == 1))).cast("int")
+        return _with(units, lambda u: F.concat(
+            F.when(part["negative"] & (u > 0), "-").otherwise(""), F.call_function("div", u, F.lit(ten)).cast("string"),
+            F.concat(F.lit("."), F.lpad((u % ten).cast("string"), digits, "0")) if digits else F.lit("")))
+
+    def divide(part: Column) -> Column:
+        whole = F.call_function("div", part["scaled"], part["unit"])
+        return _with(F.struct(whole.alias("whole"), (part["scaled"] - whole.cast("decimal(20,0)") * part["unit"]).alias("rest"),
+                              part["unit"].alias("unit"), part["negative"].alias("negative")), text_of)
+
+    def scale(part: Column) -> Column:
+        whole = (part["size"] * F.pow(F.lit(2.0), part["power"])).cast("bigint").cast("decimal(20,0)")
+        unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), part["power"]).cast("decimal(20,0)")
+        return _with(F.struct((whole * F.lit(ten).cast("decimal(10,0)")).alias("scaled"), unit.alias("unit"),
+                              part["negative"].alias("negative")), divide)
+
+    def start(v: Column) -> Column:
+        size = F.abs(v)
+        power = F.greatest(52 - F.floor(F.log2(size)), F.lit(0)).cast("int")
+        exact = _with(F.struct(size.alias("size"), power.alias("power"), (v < 0).alias("negative")), scale)
+        return F.when((size >= 2.0 ** -10) & (size < 2.0 ** 40), exact).otherwise(F.format_string(f"%.{digits}f", v))
+
+    return _with(value, start)
+
+
 def fixed(value: Column, digits: int = 3, missing: str = "NA") -> Column:
-    return F.coalesce(F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)), F.lit(missing))
+    return F.coalesce(F.when(value.isNotNull(), decimals(value, digits)), F.lit(missing))
 
 
 def p_text(value: Column, digits: int = 3, trim: bool = False, missing: str = "NA") -> Column:
     """Two-digit exponent form below 0.001, else fixed digits; ``trim`` drops end zeros."""
-    plain = F.format_string(f"%.{digits}f", value)
+    plain = decimals(value, digits)
     if trim:
         plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.coalesce(F.when(value < 0.001, F.format_string("%.2e", value)).when(value.isNotNull(), plain), F.lit(missing))
 
 
 def percent_text(value: Column, digits: int = 1, missing: str = "NA") -> Column:
-    return F.coalesce(F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", 100 * value)), F.lit(missing))
+    return F.coalesce(F.when(value.isNotNull(), F.concat(decimals(100 * value, digits), F.lit("%"))), F.lit(missing))
 
 
 def interval_text(value: Column, low: Column, high: Column, digits: int = 3) -> Column:
@@ -32,7 +72,7 @@ def interval_text(value: Column, low: Column, high: Column, digits: int = 3) ->
 
 
 def median_iqr_text(q1: Column, median: Column, q3: Column) -> Column:
-    text = F.format_string("%.1f (%.1f-%.1f)", median, q1, q3)
+    text = F.concat(decimals(median, 1), F.lit(" ("), decimals(q1, 1), F.lit("-"), decimals(q3, 1), F.lit(")"))
     return F.when(median.isNull(), "NA").otherwise(text)
 
 

@@ -86,10 +86,10 @@ def gram(rows: DataFrame, array: str = "z") -> np.ndarray:
     return values.reshape(size, size)
 
 
-def _rank(cross: np.ndarray) -> int:
+def cross_rank(cross: np.ndarray) -> int:
     """Rank of a design from its cross products, columns scaled to unit length."""
     scale = np.sqrt(np.where(np.diag(cross) > 0, np.diag(cross), 1.0))
-    return int(np.linalg.matrix_rank(cross / np.outer(scale, scale), tol=1e-10, hermitian=True))
+    return int(np.linalg.matrixcross_rank(cross / np.outer(scale, scale), tol=1e-10, hermitian=True))
 
 
 def _inverse(cross: np.ndarray) -> np.ndarray:
@@ -227,19 +227,19 @@ class VarianceShares:
     yy: float
     n: int
 
-    def rss_rank(self, terms: Sequence[str]) -> tuple[float, int]:
+    def rsscross_rank(self, terms: Sequence[str]) -> tuple[float, int]:
         keep = self.design.columns_of(terms)
         zz, m = self.zz[np.ix_(keep, keep)], self.zyyz[np.ix_(keep, keep)]
-        return self.yy - float(np.sum(_inverse(zz) * m)), _rank(zz)
+        return self.yy - float(np.sum(_inverse(zz) * m)), cross_rank(zz)
 
     @property
     def total(self) -> float:
-        return self.rss_rank([])[0]
+        return self.rsscross_rank([])[0]
 
     def term(self, term: str, given: Sequence[str]) -> dict[str, float]:
         """Share of the *total* sum of squares a term adds to the given terms."""
-        reduced, rank_reduced = self.rss_rank(given)
-        full, rank_full = self.rss_rank([*given, term])
+        reduced, rank_reduced = self.rsscross_rank(given)
+        full, rank_full = self.rsscross_rank([*given, term])
         df_term, df_residual = rank_full - rank_reduced, self.n - rank_full
         usable = df_term > 0 and df_residual > 0
         return {"df_term": df_term, "df_residual": df_residual,
@@ -254,7 +254,7 @@ def sequential_partition(shares: VarianceShares, order: Sequence[str]) -> DataFr
         first = shares.term(term, order[:i])
         last = shares.term(term, [t for t in order if t != term])
         rows.append((term, first["r2"], last["r2"], last["pseudo_f"], last["df_term"], last["df_residual"], shares.n))
-    rss, rank = shares.rss_rank(order)
+    rss, rank = shares.rsscross_rank(order)
     rows.append(("residual", rss / shares.total, None, None, None, shares.n - rank, shares.n))
     return shares.design.rows.sparkSession.createDataFrame(
         rows, "term string, r2 double, term_deletion_r2 double, pseudo_f double, df_term int, df_residual int, sample_n int")
@@ -340,7 +340,7 @@ class PermutationStudy:
                 yield pd.DataFrame({"perm": np.arange(1, permutations + 1), "v": list(total)})
 
         zy, zz = self.zy[keep], shares.zz[np.ix_(keep, keep)]
-        reduced, rank_reduced = shares.rss_rank(given)
+        reduced, rank_reduced = shares.rsscross_rank(given)
         yy, n = shares.yy, shares.n
 
         def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,7 +353,7 @@ class PermutationStudy:
                     full = np.block([[zz, cross[:, :q].T], [cross[:, :q], inner]])
                     stacked = np.vstack([zy, cross[:, q:]])
                     rss = yy - float(np.sum(_inverse(full) * (stacked @ stacked.T)))
-                    rank = _rank(full)
+                    rank = cross_rank(full)
                     df_term, df_residual = rank - rank_reduced, n - rank
                     usable = df_term > 0 and df_residual > 0
                     out.append(((reduced - rss) / df_term) / (rss / df_residual) if usable else None)

@@ -121,7 +121,7 @@ def model_feasibility(spark, folder):
     parts = []
     for model, status, numeric, categorical in designs:
         design = linear.build_design(a.samples, numeric, categorical)
-        rank = linear._rank(linear.gram(design.rows))
+        rank = linear.cross_rank(linear.gram(design.rows))
         parts.append(design.rows.agg(F.count(F.lit(1)).alias("samples")).select(
             F.lit(model).alias("model_id"), F.lit(status).alias("status"), "samples",
             F.lit(rank).cast("bigint").alias("design_rank"), F.lit(len(design.names)).cast("bigint").alias("design_columns")))

@@ -63,3 +63,11 @@ def test_direction_labels(spark):
     rows = spark.createDataFrame([(1.0,), (-1.0,), (0.0,), (None,)], "v double")
     assert [r[0] for r in rows.select(direction(F.col("v"))).collect()] == ["CRC_higher", "control_higher", "zero", None]
     assert rows.select(direction(F.col("v"), "CRC_higher")).collect()[2][0] == "CRC_higher"
+
+
+def test_decimals_follow_the_binary_value(spark):
+    values = [4508.15, 0.125, 0.375, 2.5, -0.0625, 1234.5678, 0.05, 99.95, 0.0004, -3.14159, 7.0]
+    for digits in (0, 1, 3):
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.decimals(F.col("v"), digits).alias("t")).collect()
+        for r in rows:
+            assert float(r.t) == float(f"{r.v:.{digits}f}") and r.t.lstrip("-") == f"{abs(r.v):.{digits}f}"
