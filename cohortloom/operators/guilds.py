@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import mapped_rank
-from ..functions.stats import direction, sign
+from ..functions.stats import direction
 from ..session import settle
 from .composition import keep_features, pseudocount, sample_centres, shifted_logs
 from .moments import (cohort_counts, design_weights, leave_one_out_designs, pooled_design, score_moments, screen,
@@ -155,6 +155,3 @@ def prior_panel(samples: DataFrame, abundance: DataFrame, features: DataFrame, g
         "feature", "genus", (F.coalesce("_n", F.lit(0)) / n).alias("prevalence"),
         (F.coalesce("_v", F.lit(0.0)) / n).alias("mean_abundance"))
 
-
-def same_sign(a: str, b: str):
-    return F.coalesce(sign(F.col(a)) == sign(F.col(b)), F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lineage, text
 from ..functions.draws import draw_sql
 from ..functions.stats import clip_unit, log_p, neg_log10, rounded
-from ..operators import evidence, moments, panels, relational, reports, resample, stability, sweeps
+from ..operators import evidence, panels, relational, reports, resample, stability, sweeps, transfer
 from ..operators.ranking import grouped_quantiles
 from ..session import settle, shared_folder
 from ..sources import tables
@@ -15,8 +15,8 @@ from .basket import table
 from .oracle import CTE, bh, lp, ols, r
 from .queries_linear import COMPLETE, covariate_table, permutation_null
 from .queries_screen import SWEEP_COHORTS, SWEEP_PREVALENCE, sweep_summary
-from .queries_transfer import SEED, comparison, loso_results, pair_results, panel_tables
-from .registry import analysis, register
+from .queries_transfer import SEED, loso_results, pair_results, panel_membership, panel_tables
+from .registry import analysis, document_analysis, register
 
 
 def _r(name: str, digits: int = 6):
@@ -607,7 +607,6 @@ def overlap_bars(spark, folder):
 @register("combined_panels")
 def combined_panels(spark, folder):
     """Leave-one-out and pairwise panel summaries side by side (no SQL: iterative fits)."""
-    from ..operators import transfer
     pair_results(spark, folder)
     a = loso_results(spark, folder)
     out = reports.combined_panels(transfer.leave_one_out_summary(a.loso), transfer.pairwise_summary(a.pairs))
@@ -627,7 +626,6 @@ def per_train_cohort(spark, folder):
 SELECT guild, count(*) AS members, count(*) FILTER (WHERE feature IN (SELECT feature FROM stable)) AS stable_members
 FROM guild_members GROUP BY 1""", "coarse")
 def member_counts(spark, folder):
-    from .queries_transfer import panel_membership
     return reports.member_counts(panel_membership(spark, folder))
 
 
@@ -648,6 +646,5 @@ CTE["doc_fit"] = bh(ols("SELECT 'ALL' AS design_id, sample_id, feature, cohort,
 SELECT feature, n1, n0, {r('coef')} AS coef, {r('se')} AS se, {lp('pvalue')} AS log_pvalue, {lp('qvalue')} AS log_qvalue FROM doc_fit""")
 def document_token_screen(spark, folder):
     """Tokens of whole documents against the quality label, adjusted for language."""
-    from .registry import document_analysis
     a = document_analysis(spark, folder)
     return a.association.select("feature", "n1", "n0", _r("coef"), _r("se"), _lp("pvalue"), _lp("qvalue"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
-from ..functions.stats import log_p, normal_two_sided_sql, rounded
+from ..functions.stats import log_p, rounded
 from ..operators import composition, elasticnet, guilds, linear, meta, moments, panels, resample, stability, transfer
-from ..operators.ranking import bh_adjust, class_rank_metrics, row_numbers
+from ..operators.ranking import bh_adjust, class_rank_metrics, grouped_quantiles
 from ..session import settle
 from .oracle import CTE, bh, lp, ols, r
 from .queries_linear import covariate_fit, orthogonal, AGE, BMI, CASE, COMPLETE, GENDER
@@ -569,7 +569,6 @@ JOIN (SELECT cohort, pattern, sum(CASE WHEN (pattern>>(rk-1))&1=1 THEN rk ELSE 0
   FROM signed_ranked, range(0,4096) t(pattern) WHERE pattern < (1<<n) GROUP BY 1,2) c ON c.cohort=s.cohort GROUP BY 1,2,3""")
 def signed_rank(spark, folder):
     """Signed-rank test over the small cohorts of each region; the SQL lists all sign patterns."""
-    from ..operators.ranking import grouped_quantiles
     a = analysis(spark, folder)
     medians = grouped_quantiles(a.samples, ["cohort", "fine_cohort", "condition"], "score", [0.5])
     gaps = medians.groupBy("cohort", "fine_cohort").agg(

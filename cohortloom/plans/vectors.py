@@ -27,7 +27,3 @@ def vector_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
             "sample_id", F.format_string("d%02d", F.col("_d") + 1).alias("feature"), "score")
         _BUILT[key] = (settle(profiles.drop("x")), settle(scores))
     return _BUILT[key]
-
-
-def forget() -> None:
-    _BUILT.clear()
