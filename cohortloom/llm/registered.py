@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, secret_scan
+from . import byte_bpe, host_rules, secret_scan
 from .rows import documents
 
 
@@ -16,6 +17,12 @@ def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = byte_bpe.encode(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, folder, "doc_id", "text"))
     return found.select("doc_id", *[secret_scan.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
@@ -24,7 +31,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

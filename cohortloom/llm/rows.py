@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+SLICE = 512
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -24,14 +25,15 @@ def map_rows(df: DataFrame, inputs: dict[str, Column], schema: str,
 
     ``start`` runs once per task and returns the function that turns the columns
     of a batch, as lists, into row tuples; what it keeps lives as long as the
-    task.  Batches are bounded by Spark's Arrow batch limits in rows and bytes.
+    task.  Spark bounds its Arrow batches in rows and bytes; they are worked on
+    in slices of SLICE rows, so outputs larger than the inputs stay small too.
     """
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            rows = work([column.to_pylist() for column in batch.columns])
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            rows = work([column.to_pylist() for column in part.columns])
             columns = list(zip(*rows)) or [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
