@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, secret_scan
+from . import byte_bpe, host_rules, pii, secret_scan
 from .rows import documents
 
 
@@ -23,6 +23,13 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(documents(spark, folder, "doc_id", "text"))
+    return found.select("doc_id", *[pii.count_kind(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.digest(F.col("found")).alias("spans"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, folder, "doc_id", "text"))
     return found.select("doc_id", *[secret_scan.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
@@ -31,7 +38,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
