@@ -15,8 +15,12 @@ SLICE = 512
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet").select(*columns)
+    return table(spark, folder, "documents").select(*columns)
 
 
 def map_rows(df: DataFrame, inputs: dict[str, Column], schema: str,
