@@ -141,8 +141,10 @@ def word_of(token: str, model: list) -> str:
 
 
 def spaced_words(text: str) -> list[str]:
-    """Runs of single characters set apart by one separator each, drawn together."""
-    return [w for w in (m[0][::2] for m in _SPACED.finditer(text)) if _ODD.search(w)]
+    """Runs of single characters set apart by one separator each, drawn together; also without a first or last
+    letter, which may be a word of its own."""
+    drawn = [w for w in (m[0][::2] for m in _SPACED.finditer(text)) if _ODD.search(w)]
+    return [v for w in drawn for v in ((w, w[1:], w[:-1], w[1:-1]) if len(w) > 3 else (w,))]
 
 
 def pieces(word: str) -> list[str]:
