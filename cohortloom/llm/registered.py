@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, pii, secret_scan, toxicity
+from . import byte_bpe, host_rules, pii, quality, secret_scan, toxicity
 from .rows import documents, remainder, table
 
 
@@ -23,6 +23,13 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), quality.HELD_OUT_PARTS) == quality.HELD_OUT).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -45,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
