@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, pii, quality, secret_scan, toxicity
+from . import byte_bpe, host_rules, mixing, pii, quality, secret_scan, toxicity
 from .rows import documents, remainder, table
 
 
@@ -17,6 +17,10 @@ def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encode(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN, decoded=True)
@@ -52,8 +56,8 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_host_rules, op3_mixing, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op3_mixing": mixing.SQL}
