@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, mixing, pii, quality, secret_scan, toxicity
+from . import byte_bpe, host_rules, mixing, order_minhash, pii, quality, secret_scan, toxicity
 from .rows import documents, remainder, table
 
 
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.against_next(documents(spark, folder, "doc_id", "text"))
+
+
 def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = host_rules.judge(documents(spark, folder, "doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_rules, op3_mixing, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
