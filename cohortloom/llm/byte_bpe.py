@@ -1,9 +1,9 @@
 """Byte-level BPE with a rank queue.
 
 The queue holds the mergeable pairs of one pre-token: a bucket per merge rank
-with the positions where such a pair starts, and a bitmap of three levels over
-the ranks in use, so that finding the next rank is three find-first-set steps
-however long the pre-token is.  Positions are the starts of the parts in a
+with the positions where such a pair starts, and a bitmap of two levels, 256 ranks
+to a group, over the ranks in use, so that finding the next rank is two
+find-first-set steps however long the pre-token is.  Positions are the starts of the parts in a
 linked list over the bytes.  Entries are never removed: one whose pair has
 changed since is skipped when it comes up.
 """
@@ -11,10 +11,13 @@ changed since is skipped when it comes up.
 from __future__ import annotations
 
 import base64
+import hashlib
+import sys
 from array import array
 from collections.abc import Callable
 from heapq import heappop, heappush
 from pathlib import Path
+from types import ModuleType
 
 import regex
 from pyspark.sql import DataFrame
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .rows import map_rows
 
-#: Encoded pre-tokens a task remembers before it starts over; it changes the speed only.
-REMEMBERED = 200_000
+#: Encoded pre-tokens a Python worker remembers, over its tasks, before it starts over; it changes the speed only.
+REMEMBERED = 600_000
 
 Encoder = Callable[[bytes], list[int]]
 
@@ -36,8 +39,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 def piece_encoder(ranks: dict[bytes, int]) -> Encoder:
     """The function that encodes one pre-token, given as bytes."""
     rank_of, longest = ranks.get, max(map(len, ranks))
-    words = (max(ranks.values()) >> 6) + 1
-    low, mid = [0] * words, [0] * ((words >> 6) + 1)  # bit r of low: rank r has a bucket; bit g of mid: low[g] is not 0
+    low = [0] * ((max(ranks.values()) >> 8) + 1)  # bit r of group g: rank g << 8 | r has a bucket
+    bits = [1 << i for i in range(max(256, len(low)))]
 
     def encode(piece: bytes) -> list[int]:
         whole = rank_of(piece)
@@ -47,38 +50,31 @@ def piece_encoder(ranks: dict[bytes, int]) -> Encoder:
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n  # the rank of the pair that starts here, -1 for none
         buckets: dict[int, list[int]] = {}
-        top = 0  # bit c: mid[c] is not 0
-
-        def push(rank: int, at: int) -> int:
-            bucket = buckets.get(rank)
-            if bucket is not None:
-                heappush(bucket, at)
-                return 0
-            buckets[rank] = [at]
-            low[rank >> 6] |= 1 << (rank & 63)
-            mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            return 1 << (rank >> 12)
-
+        top = 0  # bit g: group g has buckets
         for i in range(n - 1):
             rank = rank_of(piece[i:i + 2])
             if rank is not None:
                 pair[i] = rank
-                top |= push(rank, i)
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so already a heap
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= bits[rank & 255]
+                    top |= bits[rank >> 8]
         while top:
-            c = (top & -top).bit_length() - 1
-            w = mid[c]
-            g = c << 6 | (w & -w).bit_length() - 1
+            g = (top & -top).bit_length() - 1
             w = low[g]
-            rank = g << 6 | (w & -w).bit_length() - 1
+            rank = g << 8 | (w & -w).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                low[g] &= w - 1
-                if not low[g]:
-                    mid[c] &= mid[c] - 1
-                    if not mid[c]:
-                        top &= top - 1
+                w &= w - 1
+                low[g] = w
+                if not w:
+                    top &= top - 1
             if pair[i] != rank:
                 continue
             j = after[i]
@@ -86,20 +82,28 @@ def piece_encoder(ranks: dict[bytes, int]) -> Encoder:
             pair[i] = pair[j] = -1
             if k < n:
                 before[k] = i
-                end = after[k]
-                if end - i <= longest:
-                    found = rank_of(piece[i:end])
-                    if found is not None:
-                        pair[i] = found
-                        top |= push(found, i)
+                found = rank_of(piece[i:after[k]]) if after[k] - i <= longest else None
+                if found is not None:
+                    pair[i] = found
+                    if found in buckets:
+                        heappush(buckets[found], i)
+                    else:
+                        buckets[found] = [i]
+                        low[found >> 8] |= bits[found & 255]
+                        top |= bits[found >> 8]
             p = before[i]
             if p >= 0:
                 found = rank_of(piece[p:k]) if k - p <= longest else None
                 if found is None:
                     pair[p] = -1
-                elif found != pair[p]:
+                else:
                     pair[p] = found
-                    top |= push(found, p)
+                    if found in buckets:
+                        heappush(buckets[found], p)
+                    else:
+                        buckets[found] = [p]
+                        low[found >> 8] |= bits[found & 255]
+                        top |= bits[found >> 8]
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i:after[i]]])
@@ -112,9 +116,9 @@ def piece_encoder(ranks: dict[bytes, int]) -> Encoder:
 class _Remembered(dict):
     """Packed ids by pre-token."""
 
-    def __init__(self, encode: Encoder):
+    def __init__(self, table: dict[bytes, int]):
         super().__init__()
-        self.encode = encode
+        self.encode = piece_encoder(table)
 
     def __missing__(self, word: str) -> bytes:
         packed = array("I", self.encode(word.encode())).tobytes()
@@ -125,6 +129,15 @@ class _Remembered(dict):
         return packed
 
 
+def _remembered(data: bytes, table: dict[bytes, int]) -> _Remembered:
+    """The memory of this worker for a rank file; functions are unpickled for each task, a module stays."""
+    held = sys.modules.setdefault("_remembered_pieces", ModuleType("_remembered_pieces")).__dict__
+    name = hashlib.sha256(data).hexdigest()
+    if name not in held:
+        held[name] = _Remembered(table)
+    return held[name]
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids[, decoded]) for every row.
 
@@ -141,7 +154,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
         tokens = [b""] * (max(table.values()) + 1)
         for token, rank in table.items():
             tokens[rank] = token
-        split, packed_of, bytes_of = regex.compile(pattern).findall, _Remembered(piece_encoder(table)).__getitem__, tokens.__getitem__
+        split, packed_of, bytes_of = regex.compile(pattern).findall, _remembered(shipped.value, table).__getitem__, tokens.__getitem__
 
         def work(columns: list[list]) -> list[tuple]:
             out = []
