@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, mixing, order_minhash, pii, quality, secret_scan, toxicity
+from . import byte_bpe, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, toxicity
 from .rows import documents, remainder, table
 
 
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(documents(spark, folder, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encode(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN, decoded=True)
@@ -60,8 +64,8 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL, "op3_mixing": mixing.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op3_mixing": mixing.SQL, "op4_ngram_join": ngram_join.SQL}
