@@ -168,7 +168,7 @@ def frequent_members(docs: DataFrame, bits: int, ranges: int) -> np.ndarray:
     return np.sort(rows["member"].to_numpy().astype(np.uint64))
 
 
-_SCANNED = ("uid bigint, doc_id bigint, n bigint, high bigint, low bigint, range bigint, part bigint, packed binary, places binary, "
+_SCANNED = ("uid bigint, doc_id bigint, mark bigint, n bigint, high bigint, low bigint, range bigint, part bigint, packed binary, places binary, "
             "member bigint")
 
 
@@ -197,14 +197,14 @@ def scan(docs: DataFrame, frequent: np.ndarray, bits: int, ranges: int) -> DataF
             order = np.argsort(members, kind="stable")
             members, places = members[order], places[order]
             cuts = _ranges(members, bits, ranges)
-            return [(None,) * 5 + (r, part, _pack(members[a:b]), zstandard.compress(places[a:b].tobytes(), 1), None)
+            return [(None,) * 6 + (r, part, _pack(members[a:b]), zstandard.compress(places[a:b].tobytes(), 1), None)
                     for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
 
-        for place, (key, text) in enumerate(_texts(batches)):
+        for place, (key, text, mark) in enumerate(_texts(batches)):
             shingles = shingler(text or "")
             n = len(shingles)
             high, low = signature(shingles)
-            out.append((part + place, key, n, high, low) + (None,) * (width - 5))
+            out.append((part + place, key, mark, n, high, low) + (None,) * (width - 6))
             if n and (high, low) not in seen:
                 seen.add((high, low))
                 members = shingles >> shift
@@ -227,7 +227,8 @@ def scan(docs: DataFrame, frequent: np.ndarray, bits: int, ranges: int) -> DataF
         if out:
             yield _batch(list(zip(*out)), schema)
 
-    return settle(docs.mapInArrow(pack, _SCANNED))
+    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return settle(marked.mapInArrow(pack, _SCANNED))
 
 
 def shared_members(scanned: DataFrame) -> DataFrame:
@@ -373,12 +374,27 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     * Repeated rows, also with one key, are documents of their own.
     * No rows: no rows.  Other columns are not read.
     """
+    return _grouped(df, key, text).drop("mark")
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest key (NULL keys last).
+
+    Rows without shingles stay; of rows equal in key and text one stays.
+    """
+    first = _grouped(df, key, text).filter("first").select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"))
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kept = df.join(first, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left_semi")
+    return kept.withColumn("_mark", mark).dropDuplicates([key, "_mark"]).drop("_mark")
+
+
+def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     bits = min(56, max(32, int(size).bit_length() + 10))
     ranges = max(1, size // RANGE_BYTES)
     scanned = scan(docs, frequent_members(docs, bits, ranges), bits, ranges)
-    rows = scanned.filter(F.col("n").isNotNull()).select("uid", "doc_id", "n", "high", "low")
+    rows = scanned.filter(F.col("n").isNotNull()).select("uid", "doc_id", "mark", "n", "high", "low")
     sets = settle(rows.filter(F.col("n") > 0).groupBy("high", "low", "n").agg(
         F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.count("*").alias("n_copies")))
     members = settle(rows.join(sets.select("high", "low", "node", "n_copies"), ["high", "low"], "left"))
@@ -402,7 +418,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     whole = settle(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node", "uid")))
     best = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("_first"))
-    return whole.join(best, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+    return whole.join(best, "label").select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id",
                                             F.coalesce("n_copies", F.lit(1)).alias("n_copies"), (F.col("uid") == F.col("_first")).alias("first"))
 
 
