@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, toxicity
+from . import byte_bpe, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
 from .rows import documents, remainder, table
 
 
@@ -42,6 +42,13 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove(documents(spark, folder, "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -64,7 +71,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_toxicity, op9_pii, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
