@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def safe_number(value: Column) -> Column:
-    """Number of a text; anything that is not a number becomes NULL."""
-    return value.try_cast("double")
+    """Number of a text; anything that is not a finite number becomes NULL."""
+    number = value.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def _with(expression: Column, use) -> Column:

@@ -65,6 +65,7 @@ class Fitted:
     mean: np.ndarray
     scale: np.ndarray
     n_train: int
+    converged: bool = True
 
 
 def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +128,8 @@ def fit_models(rows: DataFrame, models: Sequence[Model], rounds: int = 25, toler
     """Fit every model whose training rows hold both classes.
 
     ``rows`` has (sample_id, cohort, condition, fold, x) and should be a written
-    table, since every round reads it once.
+    table, since every round reads it once.  A model still moving after ``rounds``
+    keeps the best coefficients that were evaluated and is marked not converged.
     """
     moments = _training_moments(rows, models)
     l1, l2 = L1_RATIO / INVERSE_STRENGTH, (1 - L1_RATIO) / INVERSE_STRENGTH
@@ -156,7 +158,9 @@ def fit_models(rows: DataFrame, models: Sequence[Model], rounds: int = 25, toler
             s["at"], s["best"] = s["try"], row["objective"]
             s["try"] = np.asarray(row["weights"])
             s["done"] = bool(np.max(np.abs(s["try"] - s["at"])) < tolerance)
-    return [Fitted(s["m"], float(s["try"][0]), s["try"][1:], s["mean"], s["scale"], s["n"]) for s in live.values()]
+    for s in live.values():
+        s["out"] = s["try"] if s["done"] else s["at"]  # "try" is not evaluated before it is settled
+    return [Fitted(s["m"], float(s["out"][0]), s["out"][1:], s["mean"], s["scale"], s["n"], s["done"]) for s in live.values()]
 
 
 def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.stats import normal_two_sided, ratio
 from ..session import settle
 
 BUCKETS_PER_OCTAVE = 64
+_LAST_BUCKET = 1 << 40  # of values that have no place in the order
 
 
 def order_bucket(value: Column) -> Column:
@@ -65,17 +66,19 @@ def row_numbers(df: DataFrame, keys: Sequence[str], value: str, tie: str, name:
     """Exact ``row_number`` by (value, tie) inside each group, all rows kept.
 
     A bigint ``value`` is taken as a keyed draw.  Order by a draw where many rows
-    may be equal otherwise.
+    may be equal otherwise.  NULL and NaN come last, in either direction.
     """
     keys = list(keys)
     if df.schema[value].dataType.simpleString() == "bigint" and not descending:
         bucket = draw_bucket(F.col(value))
     else:
         number = F.col(value).cast("double")
-        bucket = order_bucket(-number if descending else number)
-    rows = df.withColumn("_one", F.lit(1)).withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+        bucket = order_bucket(F.when(~F.isnan(number), -number if descending else number))
+    rows = df.withColumn("_one", F.lit(1)).withColumn("_bucket", F.coalesce(bucket, F.lit(_LAST_BUCKET)))
+    missing = F.col("_bucket") == _LAST_BUCKET
+    ordered = F.when(~missing, F.col(value))
     within = Window.partitionBy(*keys, "_bucket").orderBy(
-        F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc())
+        ordered.desc() if descending else ordered.asc(), F.col(tie).asc())
     offsets = _bucket_offsets(rows, keys, ["_one"]).drop("_one_total")
     return (rows.join(offsets, [*keys, "_bucket"])
             .withColumn(name, (F.col("__one_before") + F.row_number().over(within)).cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lineage, text
@@ -15,7 +17,7 @@ from .basket import table
 from .oracle import CTE, bh, lp, ols, r
 from .queries_linear import COMPLETE, covariate_table, permutation_null
 from .queries_screen import SWEEP_COHORTS, SWEEP_PREVALENCE, sweep_summary
-from .queries_transfer import SEED, loso_results, pair_results, panel_membership, panel_tables
+from .queries_transfer import BOOT, SEED, loso_results, pair_results, panel_membership, panel_tables
 from .registry import analysis, document_analysis, register
 
 
@@ -257,7 +259,7 @@ def performance_table(spark, folder):
     a = loso_results(spark, folder)
     scored_rows = settle(a.loso_predictions.filter("panel = 'all_features'").select(
         F.col("cohort").alias("held_out"), "sample_id", "condition", F.round("probability", 6).alias("probability")))
-    intervals = resample.bootstrap_auroc(scored_rows, ["held_out"], "probability", "condition", 50, SEED)
+    intervals = resample.bootstrap_auroc(scored_rows, ["held_out"], "probability", "condition", BOOT, SEED)
     table_rows = reports.performance_table(a.loso.filter("panel = 'all_features'"), intervals)
     return table_rows.select("held_out", "n_train", "n_test", "classes_in_test", "replicates_used", "status")
 
@@ -449,7 +451,8 @@ def table_manifest(spark, folder):
 
 
 def scratch(spark, name):
-    return f"{shared_folder(spark)}/files-{name}"
+    """A path of its own for every call: results are read lazily."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}-{name}"
 
 
 @register("tsv_roundtrip", f"SELECT sample_id, cohort, condition, {r('age', 2)} AS age FROM samples")

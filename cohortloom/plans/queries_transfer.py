@@ -57,7 +57,7 @@ def average_precision_by_cohort(spark, folder):
         "fine_cohort", _r("auroc"), _r("average_precision"))
 
 
-BOOT = 50
+BOOT = 2000
 CTE["boot_rows"] = f"""SELECT cohort, sample_id, score, condition, row_number() OVER (PARTITION BY cohort
   ORDER BY {draw_sql(SEED, 'order', 'sample_id')}, sample_id) AS i, count(*) OVER (PARTITION BY cohort) AS n FROM samples"""
 CTE["boot_draws"] = f"""SELECT d.cohort, d.replicate, b.score, b.condition FROM (
@@ -344,9 +344,9 @@ def panel_overlap(spark, folder):
 @register("random_panels", f"""
 SELECT CAST(repeat_id AS INTEGER) AS repeat_id, CAST(k AS INTEGER) AS rank, feature FROM (
  SELECT repeat_id, feature, row_number() OVER (PARTITION BY repeat_id ORDER BY
-  {draw_sql(SEED, 'random_panel', 'repeat_id', 'feature')}, feature) AS k FROM retained, range(1,101) t(repeat_id)) WHERE k<=29""")
+  {draw_sql(SEED, 'random_panel', 'repeat_id', 'feature')}, feature) AS k FROM retained, range(1,501) t(repeat_id)) WHERE k<=29""")
 def random_panels(spark, folder):
-    return panels.random_panels(analysis(spark, folder).features, 100, SEED).select("repeat_id", "rank", "feature")
+    return panels.random_panels(analysis(spark, folder).features, 500, SEED).select("repeat_id", "rank", "feature")
 
 
 CTE["train_prev"] = """SELECT fold AS design_id, feature, avg(CASE WHEN value>0 THEN 1.0 ELSE 0.0 END) AS prevalence
@@ -518,7 +518,7 @@ def comparison(spark, folder):
                                             F.concat_ws(">", "train_cohort", "test_cohort").alias("row_key"), "difference")))
     keys = ["comparison", "metric"]
     centre = rows.groupBy(*keys).agg(F.median("difference").alias("median_difference"), F.avg("difference").alias("mean_difference"))
-    interval = resample.bootstrap_median(rows, keys, "difference", "row_key", 500, SEED)
+    interval = resample.bootstrap_median(rows, keys, "difference", "row_key", 5000, SEED)
     test = resample.signed_rank(rows.filter("metric = 'held-out AUROC'"), keys, "difference").select(*keys, "pvalue")
     return centre.join(interval, keys).join(test, keys, "left")
 

@@ -29,10 +29,16 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, else a local one (tests)."""
+    """The folder for intermediate tables: the one the cluster names, else a local one in local mode (tests).
+
+    On a cluster a folder of this machine would hold only what this machine wrote,
+    so there an unset folder is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[spark] = tempfile.mkdtemp(prefix="spark-tables-")
     return _LOCAL_FOLDERS[spark]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import safe_number
+
 
 class MissingInput(Exception):
     """An input table is absent or empty."""
@@ -44,12 +46,24 @@ def read_wide_matrix(spark: SparkSession, path: str, key: str, name: str = "samp
                      feature: str = "feature") -> DataFrame:
     """A features x samples TSV as the sparse long table (feature, sample, value > 0).
 
-    UNPIVOT turns each line into rows where it is read; nothing is transposed.
+    Lines are split where they are read and their cells matched to the header by
+    place, so neither the plan nor a parser limit depends on the number of samples.
+    Cells that are no finite positive number are absent.  Every part file starts
+    with the header.
     """
-    wide = spark.read.option("header", True).option("sep", "\t").csv(path)
-    samples = [c for c in wide.columns if c != key]
-    numbers = wide.select(F.col(f"`{key}`").alias(feature), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in samples])
-    return numbers.unpivot([feature], [f"`{c}`" for c in samples], name, "value").filter("value > 0")
+    lines = spark.read.text(path)
+    first = lines.first()
+    header = first["value"].lstrip("\ufeff") if first else key
+    names = [n.strip('"') for n in header.split("\t")]
+    at = names.index(key)
+    plain = lambda cell: F.regexp_replace(cell, '^"(.*)"$', "$1")
+    cells = (lines.filter(F.ltrim("value", F.lit("\ufeff")) != F.lit(header))
+             .select(F.split("value", "\t", -1).alias("_cells"))
+             .select(plain(F.get("_cells", F.lit(at))).alias(feature), F.posexplode("_cells").alias("_at", "_cell"))
+             .filter(F.col("_at") != at))
+    value = safe_number(plain(F.col("_cell")))
+    return (cells.select(feature, plain(F.get(F.split(F.lit(header), "\t", -1), F.col("_at"))).alias(name), value.alias("value"))
+            .filter("value > 0"))
 
 
 def required(df_or_path, spark: SparkSession | None = None, label: str = "input") -> DataFrame:
