@@ -139,10 +139,14 @@ def matched_random_panels(bins: DataFrame, targets: DataFrame, repeats: int, see
     """
     marked = bins.join(targets.select("feature", F.lit(1).alias("_t")).distinct(), "feature", "left").withColumn(
         "_t", F.coalesce("_t", F.lit(0)))
-    # with more targets than places the first ``size`` by name set the quotas
-    numbered = marked.filter("_t = 1").withColumn(
-        "_i", F.row_number().over(Window.partitionBy("design_id").orderBy("feature"))).filter(F.col("_i") <= size)
-    quotas = numbered.groupBy("design_id", "bin").agg(F.count(F.lit(1)).alias("_quota"))
+    # with more targets than places the bins share the places in proportion, largest remainders first
+    counts = marked.filter("_t = 1").groupBy("design_id", "bin").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("design_id")
+    shared = (counts.withColumn("_all", F.sum("_n").over(whole)).withColumn("_places", F.least(F.col("_all"), F.lit(size)))
+              .withColumn("_quota", F.expr("(_n * _places) div _all")).withColumn("_rest", F.expr("(_n * _places) % _all"))
+              .withColumn("_open", F.col("_places") - F.sum("_quota").over(whole))
+              .withColumn("_turn", F.row_number().over(whole.orderBy(F.col("_rest").desc(), "bin"))))
+    quotas = shared.select("design_id", "bin", (F.col("_quota") + (F.col("_turn") <= F.col("_open")).cast("bigint")).alias("_quota"))
     drawn = (marked.withColumn("repeat_id", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
              .withColumn("_d", draw(seed, "matched_panel", F.col("design_id"), F.col("repeat_id"), F.col("feature"))))
     by_bin = Window.partitionBy("design_id", "repeat_id", "_t", "bin").orderBy("_d", "feature")

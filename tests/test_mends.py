@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import session
 from cohortloom.functions.text import safe_number
-from cohortloom.operators import elasticnet
+from cohortloom.operators import elasticnet, panels
 from cohortloom.operators.ranking import row_numbers
 from cohortloom.plans import queries_evidence
 from cohortloom.sources import tables
@@ -60,3 +60,12 @@ def test_a_fit_that_runs_out_of_rounds_says_so(spark):
     model = elasticnet.Model(0, "p", 0, "own", "c", 0, (0, 1, 2))
     short, long = (elasticnet.fit_models(rows, [model], rounds=n) for n in (2, 40))
     assert all(f.converged for f in long) and not any(f.converged for f in short)
+
+
+def test_quotas_of_many_targets_follow_all_of_them(spark):
+    bins = spark.createDataFrame([("d", f"f{i:03d}", i / 200, i % 4) for i in range(200)], "design_id string, feature string, prevalence double, bin int")
+    # 60 targets: by name the first 29 would come from the first names only
+    targets = spark.createDataFrame([(f"f{i:03d}",) for i in range(0, 120, 4)] + [(f"f{i:03d}",) for i in range(121, 181, 4)]
+                                    + [(f"f{i:03d}",) for i in range(122, 182, 4)], "feature string")
+    found = panels.matched_random_panels(bins, targets, 3, 1, size=29).filter("from_bin = 1").groupBy("repeat_id", "bin").count().collect()
+    assert {(r.repeat_id, r.bin): r["count"] for r in found} == {(k, b): n for k in (1, 2, 3) for b, n in {0: 15, 1: 7, 2: 7}.items()}
