@@ -243,40 +243,61 @@ _FOUND = "doc_id bigint, mark bigint, first bigint, last bigint"
 
 
 def repeated_in_units(table: pa.Table) -> pa.Table:
-    """Starts of strings that two units of the table have, by their suffix array."""
+    """Starts of strings that two units of the table have, by their suffix array.
+
+    Equal units repeat all their strings and are sorted once.
+    """
     one, two = (table[c].to_numpy() for c in ("one", "two"))
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     core = np.empty(len(order), np.int64)
     core[order] = np.cumsum(new) - 1
-    several = np.bincount(core)[core] > 1
+    befores, afters = (table[c].to_pylist() for c in ("before", "after"))
+    at, most, least = (table[c].to_numpy() for c in ("at", "most", "least"))
+    kinds: dict[tuple[int, bytes, bytes], list[int]] = {}
+    for u, kind in enumerate(zip(core.tolist(), befores, afters)):
+        kinds.setdefault(kind, []).append(u)
+    variants = np.bincount([c for c, _, _ in kinds])
+    units, first, last = [], [], []
     text: list[int] = []
     starts, unit_of, back_of = [], [], []
-    befores, afters, most, least = (table[c].to_pylist() for c in ("before", "after", "most", "least"))
-    for u in np.flatnonzero(several).tolist():
-        for back in range(most[u], least[u] - 1, -1):
-            starts.append(len(text) + most[u] - back)
-            unit_of.append(u)
-            back_of.append(back)
-        text += [x + 2 for x in befores[u]]
-        text.append(int(core[u]) + 258)
-        text += [x + 2 for x in afters[u]]
-        text.append(1)
-    if not text:
-        return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "mark", "first", "last")})
-    text.append(0)
-    sa = np.array(suffix_array(text))
-    symbols = np.concatenate([np.array(text), np.zeros(STEP, np.int64)])
-    same = np.ones(len(sa) - 1, bool)
-    for t in range(STEP):
-        same &= symbols[sa[:-1] + t] == symbols[sa[1:] + t]
-    repeated = np.zeros(len(text), bool)
-    repeated[sa[:-1][same]] = True
-    repeated[sa[1:][same]] = True
-    hit = np.flatnonzero(repeated[np.array(starts)])
-    units, begin = np.array(unit_of)[hit], table["at"].to_numpy()[np.array(unit_of)[hit]] - np.array(back_of)[hit]
-    return pa.table({"doc_id": table["doc_id"].take(pa.array(units)), "mark": table["mark"].take(pa.array(units)), "first": begin, "last": begin})
+    for (c, before, after), same in kinds.items():
+        u = same[0]
+        if len(same) > 1:
+            units += same
+            first += [at[x] - most[x] for x in same]
+            last += [at[x] - least[x] for x in same]
+        if variants[c] > 1:
+            for back in range(most[u], least[u] - 1, -1):
+                starts.append(len(text) + most[u] - back)
+                unit_of.append(u)
+                back_of.append(back)
+            text += [x + 2 for x in before]
+            text.append(c + 258)
+            text += [x + 2 for x in after]
+            text.append(1)
+    if text:
+        text.append(0)
+        sa = np.array(suffix_array(text))
+        symbols = np.concatenate([np.array(text), np.zeros(STEP, np.int64)])
+        equal = np.ones(len(sa) - 1, bool)
+        for t in range(STEP):
+            equal &= symbols[sa[:-1] + t] == symbols[sa[1:] + t]
+        repeated = np.zeros(len(text), bool)
+        repeated[sa[:-1][equal]] = True
+        repeated[sa[1:][equal]] = True
+        for i in np.flatnonzero(repeated[np.array(starts)]).tolist():
+            begin = at[unit_of[i]] - back_of[i]
+            if units and units[-1] == unit_of[i] and last[-1] == begin - 1:
+                last[-1] = begin
+            else:
+                units.append(unit_of[i])
+                first.append(begin)
+                last.append(begin)
+    picked = pa.array(units, pa.int64())
+    return pa.table({"doc_id": table["doc_id"].take(picked), "mark": table["mark"].take(picked),
+                     "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
 
 
 def _repeated_in_large_classes(units: DataFrame) -> DataFrame:
