@@ -13,8 +13,6 @@ from .elasticnet import Fitted, Model, coefficient_table, fit_models, prediction
 from .ranking import class_rank_metrics
 from .resample import stratified_folds
 
-FOLDS = range(5)
-
 
 class TransferStudy:
     """Panels evaluated on profiles ``(sample_id, cohort, condition, x)``.
@@ -130,7 +128,7 @@ def leave_one_out_summary(folds: DataFrame, keys: Sequence[str] = ("panel",)) ->
     """Median, range, IQR and test-weighted AUROC over folds."""
     known = F.col("auroc").isNotNull()
     return folds.groupBy(*keys).agg(
-        F.first("panel_size").alias("panel_size"), F.countDistinct("held_out").alias("folds"),
+        F.max("panel_size").alias("panel_size"), F.countDistinct("held_out").alias("folds"),
         _median("auroc").alias("median_auroc"), F.min("auroc").alias("minimum_auroc"), F.max("auroc").alias("maximum_auroc"),
         _iqr("auroc").alias("auroc_iqr"), _median("average_precision").alias("median_average_precision"),
         ratio(F.sum(F.col("auroc") * F.col("n_test")), F.sum(F.when(known, F.col("n_test"))).cast("double")).alias("weighted_auroc"))
@@ -140,7 +138,7 @@ def pairwise_summary(pairs: DataFrame, keys: Sequence[str] = ("panel",)) -> Data
     """Off-diagonal AUROC, the diagonal median and their gap (transferability loss)."""
     off, diag = ~F.col("is_diagonal"), F.col("is_diagonal")
     out = pairs.groupBy(*keys).agg(
-        F.first("panel_size").alias("panel_size"), F.count_if(off).alias("pairs"),
+        F.max("panel_size").alias("panel_size"), F.count_if(off).alias("pairs"),
         _median("auroc", off).alias("off_diagonal_median_auroc"),
         F.min(F.when(off, F.col("auroc"))).alias("off_diagonal_minimum_auroc"),
         F.max(F.when(off, F.col("auroc"))).alias("off_diagonal_maximum_auroc"),

@@ -265,9 +265,8 @@ def performance_table(spark, folder):
 
 
 CTE["claims"] = "SELECT 'C'||CAST(n_nationkey AS VARCHAR) AS claim_id, n_name AS claim_text FROM nation"
-CTE["claim_values"] = """SELECT 'C'||CAST(c_nationkey AS VARCHAR) AS claim_id,
-  CASE WHEN c_acctbal<0 THEN 'UNAVAILABLE: negative' ELSE c_name END AS value, c_custkey AS position FROM customer
-  WHERE c_mktsegment='BUILDING'"""
+CTE["claim_values"] = """SELECT 'C'||CAST(c_nationkey+5 AS VARCHAR) AS claim_id,
+  CASE WHEN c_acctbal<0 THEN 'UNAVAILABLE: negative' ELSE c_name END AS value, c_custkey AS position FROM customer"""
 
 
 @register("ledger_fill", """
@@ -275,24 +274,24 @@ SELECT c.claim_id, claim_text, coalesce(value,'UNAVAILABLE: claim not executed')
   CASE WHEN coalesce(value,'UNAVAILABLE') LIKE 'UNAVAILABLE%' THEN 'limitation' ELSE 'computed_result' END AS evidence_class
 FROM claims c LEFT JOIN (SELECT claim_id, max_by(value, position) AS value FROM claim_values GROUP BY 1) v ON v.claim_id=c.claim_id""")
 def ledger_fill(spark, folder):
-    """Ledger keys filled with their latest value."""
+    """Ledger keys filled with their latest value; keys are shifted, so some of each side find no match."""
     claims = table(spark, folder, "nation").select(
         F.concat(F.lit("C"), F.col("n_nationkey")).alias("claim_id"), F.col("n_name").alias("claim_text"))
-    values = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(
-        F.concat(F.lit("C"), F.col("c_nationkey")).alias("claim_id"),
+    values = table(spark, folder, "customer").select(
+        F.concat(F.lit("C"), F.col("c_nationkey") + 5).alias("claim_id"),
         F.when(F.col("c_acctbal") < 0, "UNAVAILABLE: negative").otherwise(F.col("c_name")).alias("value"),
         F.col("c_custkey").alias("position"))
     return evidence.fill_ledger(claims, values)
 
 
 @register("registry_upsert", """
-SELECT p_partkey AS module_id, p_type AS status, 'old' AS origin FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity>=49)
-UNION ALL SELECT l_partkey, 'COMPLETED', 'new' FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity>=49)""")
+SELECT p_partkey AS module_id, p_type AS status, 'old' AS origin FROM part WHERE p_partkey NOT IN (SELECT l_partkey*2 FROM lineitem)
+UNION ALL SELECT l_partkey*2, 'COMPLETED', 'new' FROM (SELECT DISTINCT l_partkey FROM lineitem)""")
 def registry_upsert(spark, folder):
     old = table(spark, folder, "part").select(
         F.col("p_partkey").alias("module_id"), F.col("p_type").alias("status"), F.lit("old").alias("origin"))
-    new = table(spark, folder, "lineitem").filter("l_quantity >= 49").select(
-        F.col("l_partkey").alias("module_id")).distinct().select(
+    new = table(spark, folder, "lineitem").select(
+        (F.col("l_partkey") * 2).alias("module_id")).distinct().select(
         "module_id", F.lit("COMPLETED").alias("status"), F.lit("new").alias("origin"))
     return relational.upsert(old, new, "module_id")
 
@@ -317,10 +316,10 @@ def long_text_marker(spark, folder):
 
 @register("lookup_default", """
 SELECT n_name, coalesce(v,'none') AS latest_customer FROM nation LEFT JOIN
- (SELECT c_nationkey, max_by(c_name, c_custkey) AS v FROM customer WHERE c_acctbal>9000 GROUP BY 1) ON c_nationkey=n_nationkey""")
+ (SELECT c_nationkey, max_by(c_name, c_custkey) AS v FROM customer GROUP BY 1) ON c_nationkey+5=n_nationkey""")
 def lookup_default(spark, folder):
-    pairs = table(spark, folder, "customer").filter("c_acctbal > 9000").select(
-        F.col("c_nationkey").alias("n_nationkey"), F.col("c_name").alias("latest_customer"), "c_custkey")
+    pairs = table(spark, folder, "customer").select(
+        (F.col("c_nationkey") + 5).alias("n_nationkey"), F.col("c_name").alias("latest_customer"), "c_custkey")
     lookup = relational.latest_per_key(pairs, "n_nationkey", "latest_customer", "c_custkey")
     return relational.look_up(table(spark, folder, "nation"), lookup, "n_nationkey", "latest_customer", "none").select(
         "n_name", "latest_customer")
