@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by a size-aware heavy-light split.
 
 Documents are sets of word 5-grams.  Two sets with a Jaccard similarity of at
-least 3/4 share two members among the first n - ceil(3n/4) + 2 of each, in any
-order common to all sets; here frequent members come last.  Lists of sets that
+least 3/4 share c members among the first n - ceil(3n/4) + c of each, in any order
+common to all sets (c = 2 + n/16, of the smaller set); here frequent members come
+last.  Lists of sets that
 share such a member are contracted first (members against the first of the
 list, verified).  What is left between different groups is joined by size: small
 sets by the two-member subsets of their prefix, large ones by scanning the lists
@@ -22,16 +23,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle
-from .rows import SLICE
+from .rows import SLICE, finished
 
 GRAM = 5
 NUMERATOR, DENOMINATOR = 75, 100
-SUBSET = 2
+SUBSET, DEPTH = 2, 16  # members two linked sets share in their prefixes: SUBSET + (size of the smaller) / DEPTH
 #: Members of at least so many sets come last in the order; of these at most MAX_FREQUENT are told apart (the most
 #: frequent).  Any order gives the same links; this one keeps the lists short.
 FREQUENT, MAX_FREQUENT = 256, 500_000
 RANGE_BYTES = 12_000_000  # text per range of members that one call sorts
-FLUSH = 2_000_000  # members a task packs at a time
+SUBSET_COST = 4  # a subset is moved and grouped, a list entry only read
+BLOCK = 64  # sets of a family that are tested together
+GROUP = 500  # followers of a leader that are tested together
+FLUSH = 4_000_000  # members a task packs at a time
 _BASE = 0x5851F42D4C957F2D
 _STIR = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.zeros(256, bool)
@@ -86,7 +90,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prefix_length(n: int) -> int:
-    return min(n, n - -(-NUMERATOR * n // DENOMINATOR) + SUBSET)
+    return min(n, n - -(-NUMERATOR * n // DENOMINATOR) + SUBSET + n // DEPTH)
 
 
 # ---------------------------------------------------------------- packed members
@@ -228,7 +232,7 @@ def scan(docs: DataFrame, frequent: np.ndarray, bits: int, ranges: int) -> DataF
             yield _batch(list(zip(*out)), schema)
 
     marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    return settle(marked.mapInArrow(pack, _SCANNED))
+    return finished(marked.mapInArrow(pack, _SCANNED))
 
 
 def shared_members(scanned: DataFrame) -> DataFrame:
@@ -268,33 +272,116 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("packed").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("packed").alias("_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+def _short(shingles: np.ndarray) -> bytes:
+    """A set in 5 bytes a member.  Two sets of n members take a foreign member for a common one with a chance of
+    n*n/2**40, which matters only for a pair one member short of a link."""
+    return np.unique(shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _members(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, family: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are linked.
+
+    Nodes of a family (those with one list leader) are cut into blocks of about
+    BLOCK; a pair of blocks gets each of its sets once, however many pairs it tests.
+    """
+    sized = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    block = family.join(sized, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("_blocks"))).alias("block"))
+    pairs = (pairs.join(block.select(F.col("node").alias("a"), F.col("block").alias("_a")), "a", "left")
+             .join(block.select(F.col("node").alias("b"), F.col("block").alias("_b")), "b", "left")
+             .select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
+             .select("a", "b", F.xxhash64(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("unit")))
+    pairs = settle(pairs)
+    needed = pairs.select("unit", F.col("a").alias("node")).union(pairs.select("unit", F.col("b").alias("node"))).distinct()
+    packed = needed.join(sets, "node").select("unit", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "packed")
     schema = _arrow("a bigint, b bigint")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(data: bytes) -> np.ndarray:
-            wide = np.zeros((len(data) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-            return wide.view(np.uint64).ravel()
+        unit, held, found = None, {}, []
+        for key, a, b, data in _texts(batches):
+            if key != unit:
+                unit, held = key, {}
+            if b is None:
+                held[a] = _members(data)
+            elif linked(held[a], held[b]):
+                found.append((a, b))
+                if len(found) >= 1_000:
+                    yield _batch(list(zip(*found)), schema)
+                    found = []
+        if found:
+            yield _batch(list(zip(*found)), schema)
+
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
+    dealt = packed.union(pairs.select("unit", "a", "b", F.lit(None).cast("binary"))).repartition(parts, "unit")
+    return finished(dealt.sortWithinPartitions("unit", F.col("b").asc_nulls_first()).mapInArrow(test, "a bigint, b bigint"))
+
+
+def _leaders(lists: DataFrame) -> DataFrame:
+    """(a, b, enough): for each node the list leader it shares most lists with; ``enough`` for a link to be possible.
+
+    The leader of a list, among sets of like size, is the node with the longest
+    lists in all: of a text and its edited copies, most likely the text.
+    """
+    length = lists.groupBy("member").agg(F.count("*").alias("list"))
+    degree = lists.join(length, "member").groupBy("node").agg(F.sum("list").alias("degree"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
+    banded = lists.join(degree, "node").withColumn("band", band)
+    first = banded.groupBy("member", "band").agg(F.max(F.struct("degree", "node", "n")).alias("_l")).select(
+        "member", "band", F.col("_l.node").alias("b"), F.col("_l.n").alias("n_b"))
+    shared = banded.join(first, ["member", "band"]).filter((F.col("node") != F.col("b")) & _alike("n", "n_b"))
+    counted = shared.groupBy("node", "b").agg(F.count("*").alias("_c"), F.max(_least("n", "n_b")).alias("_k"))
+    best = counted.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("_c", "b", "_k")).alias("_b"))
+    return finished(best.select("a", "_b.b", (F.col("_b._c") >= F.col("_b._k")).alias("enough")))
 
-        for a, b, x, y in _texts(batches):
-            if linked(unpack(x), unpack(y)):
-                yield _batch([[a], [b]], schema)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    return settle(joined.mapInArrow(test, "a bigint, b bigint"))
+def _contract(docs: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``stars`` that are linked.
 
+    Every set moves once, to its leader.  A leader with many followers is copied
+    for each GROUP of them, so no task sees more than that for one leader.
+    """
+    groups = stars.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    followers = stars.join(groups, "b").select("a", "b", "groups", F.lit(False).alias("leads"))
+    both = followers.union(groups.select(F.col("b").alias("a"), "b", "groups", F.lit(True)))
+    wanted = both.join(sets.select(F.col("node").alias("a"), F.col("doc_id").alias("_doc"), "high", "low"), "a")
+    moved, schema = "a bigint, b bigint, groups int, leads boolean, packed binary", _arrow("a bigint, b bigint")
+    moved_schema = _arrow(moved)
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed): the sets of the given nodes, 5 bytes a member.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, out = Shingler(), []
+        for text, high, low, a, b, n, leads in _texts(batches):
+            shingles = shingler(text or "")
+            if signature(shingles) == (high, low):
+                out.append((a, b, n, leads, _short(shingles)))
+            if len(out) >= SLICE:
+                yield _batch(list(zip(*out)), moved_schema)
+                out = []
+        if out:
+            yield _batch(list(zip(*out)), moved_schema)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for a, b, leads, packed in _texts(batches):
+            if leads:
+                current, held = b, _members(packed)
+            elif current == b and linked(_members(packed), held):
+                yield _batch([[a], [b]], schema)
+
+    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "high", "low", "a", "b", "groups", "leads")
+    dealt = joined.mapInArrow(pack, moved).withColumn("group", F.explode(
+        F.when(F.col("leads"), F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), F.col("groups")).cast("int")))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    near = dealt.repartition(parts, "b", "group").sortWithinPartitions("b", "group", F.desc("leads")).select("a", "b", "leads", "packed")
+    return finished(near.mapInArrow(test, "a bigint, b bigint").distinct())
 
-    Two sets of n members take a foreign member for a common one with a chance of
-    n*n/2**40, which matters only for a pair one member short of a link.
-    """
 
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed): the sets of the given nodes."""
     schema = _arrow("node bigint, packed binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +389,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for text, node, high, low in _texts(batches):
             shingles = shingler(text or "")
             if signature(shingles) == (high, low):
-                short = np.unique(shingles >> np.uint64(24))
-                out.append((node, short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+                out.append((node, _short(shingles)))
             if len(out) >= SLICE:
                 yield _batch(list(zip(*out)), schema)
                 out = []
@@ -312,7 +398,21 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = nodes.select(F.col("doc_id").alias("_doc"), "node", "high", "low")
     joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "node", "high", "low")
-    return settle(joined.mapInArrow(work, "node bigint, packed binary").dropDuplicates(["node"]))
+    return finished(joined.mapInArrow(work, "node bigint, packed binary"))
+
+
+def _least(a: str, b: str):
+    """Prefix members that linked sets of these sizes share at least.
+
+    Of the set whose prefix ends first, all members it shares are in both prefixes
+    or behind its own, so what is behind bounds the rest of the intersection.
+    """
+    def behind(n: str):
+        return F.ceil(F.lit(NUMERATOR) * F.col(n) / DENOMINATOR) - SUBSET - F.floor(F.col(n) / DEPTH)
+
+    common = F.ceil(F.lit(NUMERATOR) * (F.col(a) + F.col(b)) / (NUMERATOR + DENOMINATOR))
+    # one less: two members of a set may be cut to the same bits
+    return F.greatest(F.lit(SUBSET), SUBSET - 1 + F.floor(F.least(a, b) / DEPTH), common - F.greatest(behind(a), behind(b), F.lit(0)) - 1)
 
 
 def _alike(a: str, b: str) -> object:
@@ -334,7 +434,7 @@ def boundary(lists: DataFrame) -> int:
     best, at = sum(r.scan for r in rows), 0
     total = best
     for r in rows:
-        total += r.subsets - r.scan
+        total += SUBSET_COST * r.subsets - r.scan
         if total < best:
             best, at = total, r.n
     return at
@@ -355,7 +455,9 @@ def residual_pairs(lists: DataFrame) -> DataFrame:
         pairs = x.join(other, on).filter((F.col("label") != F.col("label_b")) & _alike("n", "n_b"))
         if once:
             pairs = pairs.filter(F.col("node") < F.col("b"))
-        return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        k = _least("n", "n_b")
+        return (pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+                .agg(F.count("*").alias("_c"), F.max(k * (k - 1) / 2 if on == "key" else k).alias("_k")).filter("_c >= _k").select("a", "b"))
 
     large = lists.filter(F.col("n") > size)
     near = lists.filter((F.col("n") <= size) & (DENOMINATOR * F.col("n") >= NUMERATOR * size))
@@ -398,22 +500,19 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     sets = settle(rows.filter(F.col("n") > 0).groupBy("high", "low", "n").agg(
         F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.count("*").alias("n_copies")))
     members = settle(rows.join(sets.select("high", "low", "node", "n_copies"), ["high", "low"], "left"))
-    found = shared_members(scanned).join(members.select("uid", "node", "n"), "uid").select("member", "node", "n").distinct()
-    found = settle(found)
+    found = settle(shared_members(scanned).join(members.select("uid", "node", "n"), "uid").select("member", "node", "n").distinct())
+    several = found.groupBy("member").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("member")
+    lists = finished(found.join(several, "member"))
 
-    # contraction: every list against its first set of like size
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    banded = found.withColumn("band", band)
-    leaders = banded.groupBy("member", "band").agg(F.min("node").alias("b"), F.max("node").alias("_last"), F.min_by("n", "node").alias("n_b")).filter("b != _last")
-    stars = settle(banded.join(leaders, ["member", "band"]).filter((F.col("node") != F.col("b")) & _alike("n", "n_b"))
-                   .select(F.col("node").alias("a"), "b").distinct())
-    lists = found.join(found.groupBy("member").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("member"), "member")
-    listed = settle(sets.join(lists.select("node").distinct(), "node", "left_semi"))
-    known = _sets(docs, listed)
-    near = _verify(stars, known)
+    leaders = _leaders(lists)
+    near = _contract(docs, sets, leaders.filter("enough").select("a", "b"))
     labels = components(near)
-    labelled = settle(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    far = _verify(settle(residual_pairs(labelled)), known)
+    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = finished(residual_pairs(labelled))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    family = settle(leaders.select(F.col("a").alias("node"), F.col("b").alias("family"))
+                    .union(leaders.select("b", "b").distinct()).groupBy("node").agg(F.max("family").alias("family")))
+    far = _verify(pairs, _sets(docs, sets.join(asked, "node", "left_semi")), family)
     labels = components(near.unionByName(far))
 
     whole = settle(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node", "uid")))

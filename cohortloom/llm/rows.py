@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import settle
+
 SLICE = 512
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -44,6 +46,14 @@ def map_rows(df: DataFrame, inputs: dict[str, Column], schema: str,
     return df.select(*[c.alias(n) for n, c in inputs.items()]).mapInArrow(run, schema)
 
 
+def finished(df: DataFrame) -> DataFrame:
+    """A settled table; shuffle files of steps that nothing refers to any more are freed now, not when the driver's
+    memory happens to fill."""
+    out = settle(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
