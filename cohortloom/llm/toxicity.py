@@ -3,7 +3,9 @@
 A token with look-alike characters, stretched letters or letters set apart is a
 lattice of the words it may stand for; Viterbi decoding under a character
 trigram model of the whole corpus picks one.  The restored words are scored by
-how toxic the labelled documents are that hold the same words or word pieces.
+how toxic the labelled documents are that hold the same words or word pieces;
+the cut is the one that tells these documents apart best when each is judged by
+the others.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ HELD_OUT_PARTS = 5
 MAX_LABELLED = 20_000
 #: Pieces of words the scorer keeps at most, by their toxic rate.
 MAX_PIECES = 50_000
-CAUTION = 3.0  # standard errors a piece's toxic rate is lowered by (Wilson bound)
+PRIOR = 4.0  # labelled rows of the overall rate that a piece's counts are mixed with
+EVIDENCE = 2  # pieces of a text, the strongest, whose log odds are added up
 LEAST_RATE = 0.25  # pieces below say nothing on their own
+NEAR = 0.5  # word triples that near copies share at least, as a part of all theirs
 THRESHOLD = 0.5
 STEMS = (4, 5, 6)  # letters of the beginnings of words that count as pieces
 
@@ -155,21 +159,77 @@ def pieces(word: str) -> list[str]:
 # ---------------------------------------------------------------- scorer
 
 
-def lower_bound(hits: int, n: int, z: float = CAUTION) -> float:
-    p, w = hits / n, z * z / n
-    return (p + w / 2 - z * math.sqrt(p * (1 - p) / n + w / (4 * n))) / (1 + w)
+def weights(counts: dict[str, tuple[int, int]], overall: float, own: int | None = None) -> dict[str, float]:
+    """Log odds that pieces with (clean, toxic) rows add to the overall rate; ``own``: without a row of that label itself."""
+    out = {}
+    for piece, (clean, toxic) in counts.items():
+        clean, toxic = clean - (own == 0), toxic - (own == 1)
+        rate = (toxic + PRIOR * overall) / (toxic + clean + PRIOR)
+        if toxic > 0 and rate > overall:
+            out[piece] = logit(rate) - logit(overall)
+    return out
 
 
-def _near():
-    def work(columns: list[list]) -> list[tuple]:
-        out = []
-        for text, label in zip(*columns):
-            words = text.split()
-            codes = [zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(1, len(words) - 2))]
-            out.append((text, label, min(codes), min(c * 2654435761 % 2 ** 32 for c in codes)))
-        return out
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
-    return work
+
+def best_cut(judged: list[tuple[float, int]], least: float) -> float:
+    """The cut over ``least`` with the fewest errors on (evidence, label) rows; of equally good ones, and in the gap
+    between two rows, the nearest to even odds that keeps a quarter of the gap to both."""
+    rows = sorted(judged)
+    values = [least] + [v for v, _ in rows]
+    errors, best = sum(1 - label for _, label in rows), (math.inf, 0.0, least)
+    for i, low in enumerate(values):
+        if i:
+            errors += 2 * rows[i - 1][1] - 1
+        high = values[i + 1] if i + 1 < len(values) else max(low, 0.0) + 2
+        if high > low >= least:
+            room = (high - low) / 4
+            cut = min(max(0.0, low + room), high - room)
+            best = min(best, (errors, abs(cut), cut))
+    return best[2]
+
+
+def triples(text: str) -> set[int]:
+    words = text.split()
+    return {zlib.crc32(" ".join(words[i:i + 3]).encode()) for i in range(max(1, len(words) - 2))}
+
+
+#: Odd factors: each gives another order of the triples, and so another minimal hash.
+_ORDERS = (1, 2654435761, 2246822519, 3266489917)
+
+
+def _minima():
+    return lambda columns: [(text, label, [min(c * o % 2 ** 32 for c in codes) for o in _ORDERS])
+                            for text, label in zip(*columns) for codes in (triples(text),)]
+
+
+def _apart():
+    def far(a: str, b: str) -> bool:
+        one, two = triples(a), triples(b)
+        return len(one & two) < NEAR * len(one | two)
+
+    return lambda columns: [(t, label, m) for t, label, m, first in zip(*columns) if t == first or far(t, first)]
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """Of (text, label), equal texts once, with their largest label, and of near copies one.
+
+    Texts that share a minimal hash of their word triples, in any of several
+    orders, are compared with the group's first (toxic before clean), and go only
+    if they share NEAR of all triples with it.
+    """
+    ddl = "text string, label int, minima array<bigint>"
+    rows = texts.groupBy("text").agg(F.max("label").alias("label"))
+    rows = settle(map_rows(rows, {c: F.col(c) for c in ("text", "label")}, ddl, _minima))
+    for i in range(len(_ORDERS)):
+        rows = rows.withColumn("same", F.col("minima")[i])
+        first = (rows.groupBy("same").agg(F.max(F.struct("label", "text")).alias("first"), F.count(F.lit(1)).alias("n"))
+                 .filter("n > 1").select("same", F.col("first.text").alias("first")))
+        joined = rows.join(first, "same", "left").withColumn("first", F.coalesce("first", "text"))
+        rows = settle(map_rows(joined, {c: F.col(c) for c in ("text", "label", "minima", "first")}, ddl, _apart))
+    return rows.select("text", "label")
 
 
 def labelled_sample(labels: DataFrame, label: str, parts: int, left_out: int, most: int, key: str = "doc_id") -> DataFrame:
@@ -180,24 +240,22 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, left_out: int, mo
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> dict:
-    """The language model, the toxic rates of word pieces, and the overall rate.
+    """The language model, the labelled rows that hold each word piece, the overall rate and the cut.
 
-    The language model counts all texts.  The rates come from at most
+    The language model counts all texts.  The counts come from at most
     MAX_LABELLED labelled rows (a set small enough to broadcast by that bound),
-    equal and nearly equal texts once (those that share one of two minimal hashes
-    of word triples), so that a copied text cannot make its own words look toxic;
-    a rate is a lower Wilson bound.  Whole words are judged first; the beginnings
-    of words that are toxic by themselves are not counted, so they cast no
-    suspicion on other words that begin alike.  Without labels the overall rate is 0.
+    near copies once, so that a copied text cannot make its own words look toxic.
+    Whole words are judged first; the beginnings of words that are toxic by
+    themselves are not counted, so they cast no suspicion on other words that
+    begin alike.  The cut is chosen on the same rows, each judged by the counts
+    without itself.  Without labels the overall rate is 0 and nothing is toxic.
     """
     model = log_model(trigram_counts(df, text))
     shipped = df.sparkSession.sparkContext.broadcast(model)
     sample = labelled_sample(labels, "toxic", HELD_OUT_PARTS, 0, MAX_LABELLED)
     texts = (df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
              .join(F.broadcast(sample), "key").select("text", "label"))
-    texts = map_rows(texts, {"text": F.col("text"), "label": F.col("label")}, "text string, label int, one bigint, two bigint", _near)
-    for same in ("one", "two"):
-        texts = texts.groupBy(same).agg(F.max(F.struct("label", "text", "one", "two")).alias("r")).select("r.*")
+    texts = without_copies(texts)
 
     def counter(explained: frozenset[str], whole: bool):
         def start():
@@ -228,55 +286,69 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
         return start
 
-    def rates(explained: frozenset[str], whole: bool) -> tuple[float, dict[str, float]]:
+    def counted(explained: frozenset[str], whole: bool) -> dict[str, tuple[int, int]]:
         counts = (map_rows(texts, {"text": F.col("text"), "label": F.col("label")}, "piece string, clean bigint, toxic bigint",
                            counter(explained, whole))
                   .groupBy("piece").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
         n = F.col("toxic") + F.col("clean")
         counts = counts.filter((F.col("toxic") > LEAST_RATE * n) & (F.col("toxic") > 1) | (F.col("piece") == ""))
-        found = counts.orderBy((F.col("piece") == "").desc(), (F.col("toxic") / (n + CAUTION ** 2)).desc(), "piece").limit(MAX_PIECES).collect()
-        total = next(((r.clean, r.toxic) for r in found if r.piece == ""), (0, 0))
-        bounds = {r.piece: lower_bound(r.toxic, r.toxic + r.clean) for r in found if r.piece}
-        return total[1] / max(1, sum(total)), {p: v for p, v in bounds.items() if v > LEAST_RATE}
+        found = counts.orderBy((F.col("piece") == "").desc(), (F.col("toxic") / (n + PRIOR)).desc(), "piece").limit(MAX_PIECES).collect()
+        return {r.piece: (r.clean, r.toxic) for r in found}
+
+    words = counted(frozenset(), True)
+    clean, toxic = words.pop("", (0, 0))
+    overall = (toxic + 0.5) / (clean + toxic + 1) if clean + toxic else 0.0
+    stems = counted(frozenset(w for w, (c, t) in words.items() if (t + PRIOR * overall) / (c + t + PRIOR) >= THRESHOLD), False)
+    stems.pop("", None)
+    fitted = {"model": model, "counts": words | stems, "overall": overall, "cut": 0.0}
+    if overall:
+        told = df.sparkSession.sparkContext.broadcast(fitted)
 
-    texts = settle(texts)
-    overall, words = rates(frozenset(), True)
-    _, stems = rates(frozenset(w for w, v in words.items() if v >= THRESHOLD), False)
-    return {"model": model, "rates": words | stems, "overall": overall}
+        def judge():
+            scorers = [Scorer(told.value, own) for own in (0, 1)]
+            return lambda columns: [(scorers[label].evidence(value), label) for value, label in zip(*columns)]
+
+        judged = map_rows(texts, {"text": F.col("text"), "label": F.col("label")}, "evidence double, label int", judge).collect()  # MAX_LABELLED rows
+        fitted["cut"] = best_cut([(r.evidence, r.label) for r in judged], logit(overall))
+    return fitted
 
 
 class Scorer:
-    """Scores of texts; what tokens are worth is remembered."""
+    """Scores of texts; what tokens are worth is remembered.  ``own``: the label of fit rows that are judged without themselves."""
 
-    def __init__(self, fitted: dict):
-        self.model, self.rates, self.floor = fitted["model"].tolist(), fitted["rates"], min(fitted["overall"], LEAST_RATE)
-        self.known: dict[str, float] = {}
+    def __init__(self, fitted: dict, own: int | None = None):
+        self.model, self.overall, self.cut = fitted["model"].tolist(), fitted["overall"], fitted["cut"]
+        self.weights = weights(fitted["counts"], self.overall, own) if self.overall else {}
+        self.base = logit(self.overall) if self.overall else -math.inf
+        self.known: dict[str, tuple[float, str]] = {}
 
-    def worth(self, token: str) -> float:
+    def worth(self, token: str) -> tuple[float, str]:
+        """The strongest piece of the restored word, after its log odds."""
         word = word_of(token, self.model)
-        return max((self.rates.get(p, 0.0) for p in pieces(word)), default=0.0) if word else 0.0
+        return max(((self.weights.get(p, 0.0), p) for p in pieces(word)), default=(0.0, "")) if word else (0.0, "")
 
-    def __call__(self, text: str) -> float:
-        """The overall rate, or the highest rate of any piece of a restored word; more such words raise it."""
-        known, found = self.known, []
+    def evidence(self, text: str) -> float:
+        """Log odds of the overall rate and of the text's strongest pieces, each counted once."""
+        known, found = self.known, {}
         for token in text.split() + spaced_words(text):
             value = known.get(token)
             if value is None:
                 if len(known) >= 200_000:
                     known.clear()
                 value = known[token] = self.worth(token)
-            if value:
-                found.append(value)
-        if not found:
-            return self.floor / (1 + 0.01 * math.log1p(len(text)))
-        best = max(found)
-        return max(self.floor, best + (1 - best) * 0.05 * (1 - 1 / len(found)) * (best >= THRESHOLD))
+            if value[0]:
+                found[value[1]] = value[0]
+        return self.base + sum(sorted(found.values())[-EVIDENCE:])
+
+    def __call__(self, text: str) -> float:
+        """The evidence as a probability, moved so that the cut is at THRESHOLD, 0.5."""
+        return 1 / (1 + math.exp(min(700.0, self.cut - self.evidence(text))))
 
 
 def score(df: DataFrame, fitted: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row; 0 to 1, higher: likelier toxic.
 
-    A NULL or empty text gets at most the overall rate; rows without a key and
+    A NULL or empty text is not toxic; rows without a key and
     repeated rows are scored like any other; other columns are not read.  Work is
     by row: no shuffle; the fitted tables are bounded and broadcast.
     """

@@ -88,6 +88,33 @@ def test_obfuscated_toxic_documents_are_caught_and_clean_ones_left(spark, rows):
     assert {r.score >= 0.5 for r in toxicity.score(df, empty).collect()} == {False}
 
 
+def test_words_of_few_labelled_documents_are_learned(spark, rows):
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("aeinorst") for _ in range(7)) for _ in range(400)]
+    text = lambda *more: " ".join(rng.sample(plain, 40) + list(more))
+    toxic = {i for i in range(60) if i % 10 == 1}
+    df = rows(*[(i, text("idiot", "moron") if i in toxic else text()) for i in range(60)], (1000, text("idiot", "m0r0n")), (1001, text()))
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(60)], "doc_id bigint, toxic int")
+    found = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    assert {r.doc_id for r in found if r.score >= toxicity.THRESHOLD} == toxic | {1000}
+
+
+def test_only_near_copies_are_merged(spark):
+    rng = random.Random(3)
+    fresh = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, copied = fresh(30), fresh(60)
+    texts = [(" ".join(passage + fresh(30)), i % 2) for i in range(40)]
+    texts += [(" ".join(copied[:i] + ["changed"] + copied[i + 1:]), 1) for i in range(0, 8)] + [(" ".join(copied), 0)] * 3
+    left = toxicity.without_copies(spark.createDataFrame(texts, "text string, label int")).collect()
+    assert {t for t, _ in texts[:40]} <= {r.text for r in left} and len(left) == 41
+
+
+def test_the_cut_has_the_fewest_errors_and_is_near_even_odds():
+    assert toxicity.best_cut([(-2.0, 0), (-1.0, 0), (2.0, 1)], -2.0) == 0.0
+    assert toxicity.best_cut([(-2.0, 0), (1.0, 0), (3.0, 1), (-2.0, 1)], -2.0) == 1.5
+    assert toxicity.best_cut([(-2.0, 0)] * 9 + [(-2.0, 1)], -2.0) > -2.0
+
+
 def test_query_has_one_row_per_document(spark, folder):
     df = registered.op8_toxicity(spark, folder)
     assert df.columns == ["doc_id", "held_out", "score", "predicted"] and df.count() == 200
