@@ -17,9 +17,13 @@ HEX = "[0-9a-f]{24,}"  # runs of at least 24: the same matches as dropping short
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Smallest entropy in bits of the best window, by the narrowest class that holds the whole candidate.
-LIMITS = {"digits": 9.0, "hexadecimal": 3.0, "letters": 9.0, "mixed": 3.5}
-#: Candidates that are something else: no digit at all (words, paths, rules), numbers and dates, UUIDs.
-ALLOWED = ("^[^0-9]*$", "^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+#: All digits are numbers (ALLOWED), so digits have no limit; letters of one case are mostly words.
+LIMITS = {"hexadecimal": 3.0, "letters": 3.9, "cased": 3.5, "mixed": 3.5}
+#: Candidates that are something else: numbers and dates, UUIDs.
+ALLOWED = ("^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")
+#: What words, paths and joined words do not have: digits, and capitals inside a word without three letters of it.
+UNLIKE_WORDS = "[0-9]|[a-z][A-Z](?![a-z]{2})|[A-Z]{2}[a-z](?![a-z]{2})"
+ONE_CASE = "^[a-z]+$|^[A-Z]+$"
 KINDS = ("assign", "access", "hex", "entropy")
 _MARK, _OTHER = "\x01", "\x02"
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
@@ -83,12 +87,12 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
 
 
 def _limit(value: Column) -> Column:
-    return (F.when(value.rlike("^[0-9]+$"), LIMITS["digits"]).when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), LIMITS["hexadecimal"])
-            .when(value.rlike("^[A-Za-z]+$"), LIMITS["letters"]).otherwise(LIMITS["mixed"]))
+    return (F.when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), LIMITS["hexadecimal"]).when(value.rlike(ONE_CASE), LIMITS["letters"])
+            .when(value.rlike("^[A-Za-z]+$"), LIMITS["cased"]).otherwise(LIMITS["mixed"]))
 
 
 def _suspicious(value: Column) -> Column:
-    allowed = F.lit(False)
+    allowed = ~value.rlike(UNLIKE_WORDS) & ~value.rlike(ONE_CASE)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
     return F.when(allowed, False).otherwise(window_entropy(value) >= _limit(value))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -46,6 +47,18 @@ def test_entropy_adds_spans_and_the_allow_list_suppresses(rows):
     assert found == {0: [3], 1: [], 2: [], 3: [], 4: [], 5: [0], 6: []}
 
 
+def test_secrets_without_digits_are_found_and_words_are_not(rows):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + more) for _ in range(n))
+            for n in (20, 24, 32, 40) for more in ("", "-_", "+/") for _ in range(20)]
+    keys += ["qzjxkvbpwygfmhdlcntr", "QZJXKVBPWYGFMHDLCNTR"]
+    words = ["SomeOrdinaryCamelCaseName", "XMLHttpRequestFactoryBean", "SOME_CONSTANT_OF_A_MODULE", "src/main/java/org/example/Application",
+             "internationalisation", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz", "Licensed-under-the-Apache-License"]
+    found = {r.doc_id: [s.kind for s in r.found] for r in secret_scan.scan(rows(*[(i, f"see {w} here") for i, w in enumerate(keys + words)])).collect()}
+    assert sum(found[i] == [3] for i in range(len(keys))) >= 0.98 * len(keys) and found[len(keys) - 1] == found[len(keys) - 2] == [3]
+    assert all(found[len(keys) + i] == [] for i in range(len(words)))
+
+
 def test_every_row_is_returned_and_nothing_runs_in_python(spark, rows, folder):
     assert secret_scan.scan(rows((None, "x"), (1, "x"), (1, "x"))).count() == 3
     assert secret_scan.scan(rows((1, "x")).limit(0)).count() == 0
