@@ -253,15 +253,23 @@ def candidate_table(spark, folder):
     return reports.candidate_table(rows)
 
 
+def performance_rows(folds, predictions):
+    """The report's counts with AUROC, its bootstrap interval and average precision as numbers."""
+    intervals = settle(resample.bootstrap_auroc(predictions, ["held_out"], "probability", "condition", BOOT, SEED))
+    numbers = folds.select("held_out", "auroc", "average_precision").join(
+        intervals.select("held_out", "ci_low", "ci_high"), "held_out", "left")
+    return reports.performance_table(folds, intervals).drop("average_precision").join(numbers, "held_out").select(
+        "held_out", "n_train", "n_test", "classes_in_test", *[_r(c, 4) for c in ("auroc", "ci_low", "ci_high", "average_precision")],
+        "replicates_used", "status")
+
+
 @register("performance_table")
 def performance_table(spark, folder):
     """Held-out results with bootstrap intervals (no SQL: iterative fits)."""
     a = loso_results(spark, folder)
     scored_rows = settle(a.loso_predictions.filter("panel = 'all_features'").select(
         F.col("cohort").alias("held_out"), "sample_id", "condition", F.round("probability", 6).alias("probability")))
-    intervals = resample.bootstrap_auroc(scored_rows, ["held_out"], "probability", "condition", BOOT, SEED)
-    table_rows = reports.performance_table(a.loso.filter("panel = 'all_features'"), intervals)
-    return table_rows.select("held_out", "n_train", "n_test", "classes_in_test", "replicates_used", "status")
+    return performance_rows(a.loso.filter("panel = 'all_features'"), scored_rows)
 
 
 CTE["claims"] = "SELECT 'C'||CAST(n_nationkey AS VARCHAR) AS claim_id, n_name AS claim_text FROM nation"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import session
 from cohortloom.functions.text import safe_number
-from cohortloom.operators import elasticnet, panels
+from cohortloom.operators import elasticnet, panels, resample
 from cohortloom.operators.ranking import row_numbers
 from cohortloom.plans import queries_evidence
 from cohortloom.sources import tables
@@ -69,3 +69,17 @@ def test_quotas_of_many_targets_follow_all_of_them(spark):
                                     + [(f"f{i:03d}",) for i in range(122, 182, 4)], "feature string")
     found = panels.matched_random_panels(bins, targets, 3, 1, size=29).filter("from_bin = 1").groupBy("repeat_id", "bin").count().collect()
     assert {(r.repeat_id, r.bin): r["count"] for r in found} == {(k, b): n for k in (1, 2, 3) for b, n in {0: 15, 1: 7, 2: 7}.items()}
+
+
+def test_performance_rows_have_the_accuracy_and_its_interval(spark):
+    scored = [("a", i, int(i % 3 == 0), (i * 7 % 20 + 6 * (i % 3 == 0)) / 30) for i in range(30)]
+    predictions = spark.createDataFrame(scored, "held_out string, sample_id int, condition int, probability double")
+    folds = spark.createDataFrame([("a", 50, 30, 10, 20, "COMPUTED", 0.76543, 0.61234), ("b", 50, 0, 0, 0, "NO_TEST", None, None)],
+                                  "held_out string, n_train int, n_test int, n_test_case int, n_test_control int, status string, "
+                                  "auroc double, average_precision double")
+    got = {r.held_out: r for r in queries_evidence.performance_rows(folds, predictions).collect()}
+    want = resample.bootstrap_auroc(predictions, ["held_out"], "probability", "condition", queries_evidence.BOOT, queries_evidence.SEED).first()
+    assert (got["a"].auroc, got["a"].average_precision) == (0.7654, 0.6123)
+    assert abs(got["a"].ci_low - want.ci_low) < 1e-4 and abs(got["a"].ci_high - want.ci_high) < 1e-4
+    assert got["a"].ci_low < got["a"].ci_high and got["a"].replicates_used == want.replicates_used
+    assert got["b"].auroc is None and got["b"].ci_low is None and got["b"].replicates_used == 0
