@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
+from . import byte_bpe, conversation_trie, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
 from .rows import documents, remainder, table
 
 
@@ -70,9 +70,15 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         secret_scan.digest(F.col("found")).alias("spans"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.build(conversation_trie.rebuilt(table(spark, folder, "conversations"))).drop("prefix")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_toxicity, op9_pii, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_toxicity, op9_pii, op10_secret_scan,
+                                       op11_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL, "op3_mixing": mixing.SQL, "op4_ngram_join": ngram_join.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op3_mixing": mixing.SQL, "op4_ngram_join": ngram_join.SQL,
+            "op11_conversation_trie": conversation_trie.SQL}
