@@ -296,9 +296,9 @@ SQL = """
 WITH turn AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 marked AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS mark, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM turn),
 own AS (SELECT conv_id, list({'m': mark, 'w': words} ORDER BY turn NULLS FIRST, mark) AS turns,
-  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-   (c, b) -> list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-     (s, k) -> CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) AS c FROM marked GROUP BY conv_id),
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+   lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+     lambda s, k: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) AS c FROM marked GROUP BY conv_id),
 taken AS (SELECT conv_id, turns, xor(c, 4294967295) % 4 AS h FROM own),
 made AS (SELECT t.conv_id, coalesce(b.turns, [])[1:h::INT] || t.turns[h::INT + 1:] AS turns FROM taken t LEFT JOIN own b ON b.conv_id = t.conv_id - t.conv_id % 20),
 step AS (SELECT conv_id, d, turns[1:d::INT] AS node, CASE WHEN d > 0 THEN turns[d::INT].w ELSE 0 END AS w, d = len(turns) AS ends
