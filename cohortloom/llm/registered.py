@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_trie, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
+from . import alignment, byte_bpe, conversation_trie, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
 from .rows import documents, remainder, table
 
 
@@ -74,9 +74,14 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.build(conversation_trie.rebuilt(table(spark, folder, "conversations"))).drop("prefix")
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.score(alignment.align(documents(spark, folder, "doc_id", "text"), *files), alignment.id_types(*files))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_toxicity, op9_pii, op10_secret_scan,
-                                       op11_conversation_trie)}
+                                       op11_conversation_trie, op12_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
