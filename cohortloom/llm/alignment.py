@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .segments import Segments
+from .segments import Segments, sliced
 
 #: Id pairs whose counts are broadcast (17 bytes each); all others are joined.
 TOP = 1 << 20
@@ -145,15 +145,6 @@ def group_texts(pair: Pair, a: np.ndarray, b: np.ndarray, steps: np.ndarray, n_t
     return ["".join(out[i:j].tolist())[:-1] for i, j in zip(at, at[1:])]
 
 
-def _sliced(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of about ``size`` bytes in a column together."""
-    import pyarrow.compute as pc
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(lengths) // size
-    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-    return (batch.slice(i, j - i) for i, j in zip(edges, edges[1:]) if j > i)
-
-
 def align(df: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row, n_a, n_b, n_groups, n_links, groups_sha256, packed), written once.
 
@@ -169,7 +160,7 @@ def align(df: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*files.value)
-        for batch in (part for whole in batches for part in _sliced(whole, 1, SLICE_BYTES)):
+        for batch in (part for whole in batches for part in sliced(whole, 1, SLICE_BYTES)):
             names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             a_ids, b_ids = pair.ids(texts)
             n_a, n_b = [len(x) for x in a_ids], [len(x) for x in b_ids]
@@ -224,7 +215,7 @@ def pair_counts(aligned: DataFrame, types: tuple[type, type]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n, pa.int64())], ["pair", "n"])
 
         codes, size = [], 0
-        for batch in (part for whole in batches for part in _sliced(whole, 3, SLICE_BYTES)):
+        for batch in (part for whole in batches for part in sliced(whole, 3, SLICE_BYTES)):
             codes.append(_coded(batch, types)[0])
             size += len(codes[-1])
             if size > COUNTED:
@@ -259,7 +250,7 @@ def score(aligned: DataFrame, types: tuple[type, type]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = shipped.value
-        for batch in (part for whole in batches for part in _sliced(whole, 3, SLICE_BYTES)):
+        for batch in (part for whole in batches for part in sliced(whole, 3, SLICE_BYTES)):
             codes, at = _coded(batch, types)
             place = np.searchsorted(pairs, codes)
             place[place == len(pairs)] = 0

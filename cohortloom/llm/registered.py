@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, byte_bpe, conversation_trie, host_rules, mixing, ngram_join, order_minhash, pii, quality, secret_scan, suffix_dedup, toxicity
+from . import alignment, byte_bpe, conversation_trie, host_rules, mixing, ngram_join, order_minhash, packing, pii, quality, secret_scan, suffix_dedup, toxicity
 from .rows import documents, remainder, table
 
 
@@ -79,9 +79,13 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.score(alignment.align(documents(spark, folder, "doc_id", "text"), *files), alignment.id_types(*files))
 
 
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_order_minhash, op2_host_rules, op3_mixing, op4_ngram_join, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_toxicity, op9_pii, op10_secret_scan,
-                                       op11_conversation_trie, op12_alignment)}
+                                       op11_conversation_trie, op12_alignment, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

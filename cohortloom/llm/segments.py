@@ -9,7 +9,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments a task remembers before it starts over, and the longest one it keeps; they change the speed only.
 REMEMBERED, KEPT_LENGTH = 300_000, 48
@@ -34,3 +38,11 @@ class Segments:
             if len(s) > KEPT_LENGTH:
                 del known[s]
         return values
+
+
+def sliced(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``size`` bytes in a column together."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    return (batch.slice(i, j - i) for i, j in zip(edges, edges[1:]) if j > i)
