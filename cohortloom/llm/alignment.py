@@ -32,7 +32,7 @@ from .segments import Segments, sliced
 #: Id pairs whose counts are broadcast (17 bytes each); all others are joined.
 TOP = 1 << 20
 #: Bytes of text worked on together, and links counted together.
-SLICE_BYTES, COUNTED = 4 << 20, 4 << 20
+SLICE_BYTES, COUNTED = 2 << 20, 2 << 20
 SHIFT = 32  # a pair is a << SHIFT | b
 
 

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .segments import Segments, sliced
+from .segments import Words, sliced
 
 CAPACITY = 4096
 END = 1  # the id after each document
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 RANK_BITS = 48
 
 
@@ -117,11 +117,12 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "
         from tokenizers import Tokenizer
 
         coder, slot, seen = Tokenizer.from_str(file.value.decode()), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        segments = Segments(lambda new: [array("I", e.ids).tobytes() for e in coder.encode_batch_fast(new, add_special_tokens=False)])
+        end = array("I", [END]).tobytes()
+        words = Words(coder)
         for batch in (part for whole in batches for part in sliced(whole, 1, SLICE_BYTES)):
-            rows = []
-            for name, parts in zip(batch.column(0).to_pylist(), segments.of([t or "" for t in batch.column(1).to_pylist()])):
-                coded = b"".join([*parts, array("I", [END]).tobytes()])
+            rows, (ids_all, at_all) = [], words.of(batch.column(1))
+            for name, first, last in zip(batch.column(0).to_pylist(), at_all, at_all[1:]):
+                coded = ids_all[first:last].tobytes() + end
                 for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
                     own = coded[at:at + 4 * capacity]
                     rows.append((name, piece, at // 4, len(own) // 4, zlib.crc32(own), *((own,) if ids else ()), slot, seen[len(own) // 4]))

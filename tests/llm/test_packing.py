@@ -5,11 +5,12 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cohortloom.llm import packing, registered
+from cohortloom.llm import packing, registered, segments
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 CODER = Tokenizer.from_file(FILE)
@@ -83,6 +84,17 @@ def check(df, docs, capacity):
     return rows
 
 
+WORDS = segments.Words(CODER)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.none() | st.text(max_size=40) | st.text(alphabet="aBé \n\t.,!'s<|1 \u0301ΣİI\x1c\u2028", max_size=60), max_size=4))
+def test_words_are_encoded_as_the_whole_text(texts):
+    ids, at = WORDS.of(pa.array(["-", *texts, "-"], pa.string()).slice(1, len(texts)))
+    want = [CODER.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
+
+
 def test_rows_are_packed_whole(rows):
     texts = [None, "", "  ", "Plain Words, HERE it's  a\n\n test", "<|endoftext|> and <|startoftext|>x", "日本語 😀 ÑANDÚ", "word " * 500, "ab" * 900, "é ﬁ ΑΣ ½", "Σ ΣΑΣ İ"]
     docs = [*enumerate(texts), (None, "no key"), (0, None), (3, texts[3])] + [(100 + i, "same") for i in range(50)]
