@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
 from ..functions.stats import log_p, normal_two_sided_sql, rounded
-from ..operators import composition, linear, moments, resample
+from ..operators import composition, linear, moments, permutation, resample
 from ..operators.ranking import bh_adjust
 from ..session import settle
 from .oracle import CTE, bh, lp, r
@@ -14,7 +14,7 @@ from .registry import analysis, register
 from .vectors import vector_scores
 
 SEED = 20240501
-PERMUTATIONS = 99
+PERMUTATIONS, TERM_PERMUTATIONS = 4999, 999
 
 
 def _r(name: str, digits: int = 6):
@@ -234,7 +234,7 @@ def variance_partition_permutation(spark, folder):
     out = None
     for term in order:
         given = [t for t in order if t != term]
-        null = study.pseudo_f(term, given, PERMUTATIONS, SEED, term == "condition")
+        null = study.pseudo_f(term, given, TERM_PERMUTATIONS, SEED, term == "condition")
         observed = shares.term(term, given)["pseudo_f"]
         part = resample.empirical_p(null, F.lit(observed), "pseudo_f").select(
             F.lit(term).alias("term"), rounded(F.lit(observed)).alias("pseudo_f"), "replicates",
@@ -275,17 +275,17 @@ CTE["label_draws"] = f"""SELECT perm, sample_id, cohort, condition,
 CTE["residual"] = "SELECT sample_id, feature, condition, clr-avg(clr) OVER (PARTITION BY feature, cohort) AS e FROM clr_grid"
 CTE["null_f"] = f"""SELECT perm, ssb/((sst-ssb)/(n-2)) AS pseudo_f FROM (
   SELECT perm, sum(s1*s1*(1.0/n1+1.0/(n-n1))) AS ssb, max(n) AS n FROM (
-   SELECT perm, feature, sum(CASE WHEN label=1 THEN e END) AS s1, count(*) FILTER (WHERE label=1) AS n1, count(*) AS n
-   FROM (SELECT perm, sample_id, label FROM label_draws UNION ALL SELECT 0, sample_id, condition FROM samples) l
+   SELECT perm, feature, sum(e) AS s1, count(*) AS n1, (SELECT count(*) FROM samples) AS n
+   FROM (SELECT perm, sample_id FROM label_draws WHERE label=1 UNION ALL SELECT 0, sample_id FROM samples WHERE condition=1) l
    JOIN residual r ON r.sample_id=l.sample_id GROUP BY 1,2) GROUP BY 1), (SELECT sum(e*e) AS sst FROM residual)"""
 
 
 def permutation_null(spark, folder):
     a = analysis(spark, folder)
     if not hasattr(a, "permutation_null"):
-        profiles = settle(composition.dense_clr(a.samples, a.abundance, a.features).select(
-            "sample_id", "cohort", "condition", "x"))
-        a.permutation_null = settle(resample.label_permutation_test(a.samples, profiles, PERMUTATIONS, SEED))
+        logs, size = linear.LinearScreens(a.samples, a.abundance, a.features).logs, a.features.count()
+        centres = composition.sample_centres(a.samples.select("sample_id"), logs, F.lit(size))
+        a.permutation_null = settle(permutation.label_permutation_test(a.samples, settle(logs), settle(centres), size, PERMUTATIONS, SEED))
     return a.permutation_null
 
 
@@ -310,12 +310,7 @@ SELECT perm, cohort, count(*) AS n, sum(label) AS n_case, sum(CASE WHEN label=co
   sum(CASE WHEN label=1 THEN sample_id ELSE 0 END) AS case_key_sum FROM label_draws GROUP BY 1,2""")
 def permuted_labels(spark, folder):
     a = analysis(spark, folder)
-    drawn = resample.permuted_labels(a.samples, PERMUTATIONS, SEED).join(
-        a.samples.select("sample_id", "condition"), "sample_id")
-    return drawn.groupBy("perm", "cohort").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_case"),
-        F.sum((F.col("label") == F.col("condition")).cast("int")).alias("unchanged"),
-        F.sum(F.when(F.col("label") == 1, F.col("sample_id")).otherwise(0)).alias("case_key_sum"))
+    return permutation.label_totals(a.samples, PERMUTATIONS, SEED)
 
 
 CTE["free_draws"] = f"""SELECT p.perm, p.sample_id, v.age FROM (

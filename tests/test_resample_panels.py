@@ -3,7 +3,7 @@ import pytest
 from planted import planted, tables
 from pyspark.sql import functions as F
 
-from cohortloom.operators import guilds, panels, resample
+from cohortloom.operators import guilds, panels, permutation, resample
 from cohortloom.plans.analysis import CohortAnalysis
 
 
@@ -14,9 +14,9 @@ def a(spark):
 
 def test_permuted_labels_keep_cohort_counts(a):
     truth = {r.cohort: r.n for r in a.samples.groupBy("cohort").agg(F.sum("condition").alias("n")).collect()}
-    rows = resample.permuted_labels(a.samples, 6, 1).groupBy("perm", "cohort").agg(F.sum("label").alias("n")).collect()
+    rows = permutation.permuted_labels(a.samples, 6, 1).groupBy("perm", "cohort").agg(F.sum("label").alias("n")).collect()
     assert len(rows) == 24 and all(truth[r.cohort] == r.n for r in rows)
-    seen = resample.permuted_labels(a.samples, 6, 1).filter("label = 1").groupBy("perm").agg(
+    seen = permutation.permuted_labels(a.samples, 6, 1).filter("label = 1").groupBy("perm").agg(
         F.sort_array(F.collect_list("sample_id")).alias("s")).collect()
     assert len({tuple(r.s) for r in seen}) == 6
 
@@ -28,20 +28,55 @@ def test_permuted_column_is_a_rearrangement(a):
         assert sorted(r.value for r in rows if r.perm == k) == truth
 
 
-def test_label_permutation_test_matches_distances(a, spark):
-    rng = np.random.default_rng(5)
-    x = {r.sample_id: rng.normal(0, 1, 3) for r in a.samples.collect()}
-    base = [(r.sample_id, r.cohort, r.condition, [float(v) for v in x[r.sample_id]]) for r in a.samples.collect()]
-    profiles = spark.createDataFrame(base, "sample_id long, cohort string, condition int, x array<double>")
-    got = {r.perm: r.pseudo_f for r in resample.label_permutation_test(a.samples, profiles, 4, 2).collect()}
-    m = np.array([r[3] for r in base])
-    cohort, condition = np.array([r[1] for r in base]), np.array([r[2] for r in base])
+def test_label_words_follow_the_draws(a, monkeypatch):
+    rows, perms = a.samples.select("sample_id", "cohort", "condition").collect(), 70
+    draws = permutation.draws_of(3, perms)([str(r.sample_id) for r in rows])
+    want = {}
+    for c in {r.cohort for r in rows}:
+        mine = [i for i, r in enumerate(rows) if r.cohort == c]
+        cases = sum(rows[i].condition for i in mine)
+        for p in range(perms):
+            order = sorted(mine, key=lambda i: (draws[i, p], rows[i].sample_id))
+            want |= {(rows[i].sample_id, p + 1): int(k < cases) for k, i in enumerate(order)}
+    for few in (64, 1):  # one round of histograms, or as many as it takes
+        monkeypatch.setattr(permutation, "FEW", few)
+        assert {(r.sample_id, r.perm): r.label for r in permutation.permuted_labels(a.samples, perms, 3).collect()} == want
+    spark_draw = a.samples.select("sample_id", F.expr("cast(conv(substring(md5(concat('3|label|70|', sample_id)), 1, 15), 16, 10) as bigint)").alias("d")).collect()
+    assert {r.sample_id: r.d for r in spark_draw} == {r.sample_id: int(d) for r, d in zip(rows, draws[:, 69])}
+
+
+def test_label_totals_without_rows_per_permutation(a):
+    found = {(r.perm, r.cohort): r for r in permutation.label_totals(a.samples, 9, 1).collect()}
+    rows = permutation.permuted_labels(a.samples, 9, 1).join(a.samples.select("sample_id", "condition"), "sample_id").collect()
+    assert len(found) == 36
+    for (perm, cohort), r in found.items():
+        mine = [x for x in rows if (x.perm, x.cohort) == (perm, cohort)]
+        assert (r.n, r.n_case, r.unchanged) == (len(mine), sum(x.label for x in mine), sum(x.label == x.condition for x in mine))
+        assert r.case_key_sum == sum(x.sample_id for x in mine if x.label)
+
+
+def test_label_permutation_test_matches_distances(a, spark, monkeypatch):
+    rng, perms = np.random.default_rng(5), 12
+    base = a.samples.select("sample_id", "cohort", "condition").collect()
+    u = rng.random((len(base), 5)) * (rng.random((len(base), 5)) < 0.4)
+    u[:, 4] = 0  # a feature without rows
+    logs = spark.createDataFrame([(r.sample_id, f"f{j}", float(u[i, j])) for i, r in enumerate(base) for j in range(5) if u[i, j]], "sample_id long, feature string, u double")
+    centres = spark.createDataFrame([(r.sample_id, float(u[i].mean())) for i, r in enumerate(base)], "sample_id long, s double")
+    labels = {(r.sample_id, r.perm): r.label for r in permutation.permuted_labels(a.samples, perms, 2).collect()}
+    m = u - u.mean(axis=1, keepdims=True)
+    cohort = np.array([r.cohort for r in base])
     for c in set(cohort):
         m[cohort == c] -= m[cohort == c].mean(axis=0)
-    groups = [m[condition == g] for g in (0, 1)]
-    between = sum(len(g) * ((g.mean(axis=0) - m.mean(axis=0)) ** 2).sum() for g in groups)
-    within = sum(((g - g.mean(axis=0)) ** 2).sum() for g in groups)
-    assert len(got) == 5 and got[0] == pytest.approx(between / (within / (len(m) - 2)))
+    for split in (20_000, 7):
+        monkeypatch.setattr(permutation, "SPLIT", split)
+        got = {r.perm: r.pseudo_f for r in permutation.label_permutation_test(a.samples, logs, centres, 5, perms, 2).collect()}
+        assert sorted(got) == list(range(perms + 1))
+        for p in got:
+            y = np.array([labels[r.sample_id, p] if p else r.condition for r in base])
+            groups = [m[y == g] for g in (0, 1)]
+            between = sum(len(g) * ((g.mean(axis=0) - m.mean(axis=0)) ** 2).sum() for g in groups)
+            within = sum(((g - g.mean(axis=0)) ** 2).sum() for g in groups)
+            assert got[p] == pytest.approx(between / (within / (len(m) - 2)))
 
 
 def test_folds_partition_and_balance(a):
