@@ -65,14 +65,16 @@ def screen_comparison_summary(spark, folder):
         "baseline_fdr", "other_fdr", "baseline_preserved", "stable_preserved", _r("concordance_rate"), "top_overlap")
 
 
-CTE["external"] = """SELECT 'k__part|p__all|g__'||p_type||'|s__'||p_type||'_'||split_part(p_name,' ',1) AS feature,
-  avg(p_retailprice) AS effect FROM part WHERE p_type IN ('PROMO','LARGE') GROUP BY 1"""
+#: Types that the outside table names as the baskets do; it names the others by its own scheme, which matches no genus.
+SAME_NAMES = ("PROMO", "LARGE")
+CTE["external"] = f"""SELECT 'k__part|p__all|g__'||genus||'|s__'||genus||'_'||split_part(p_name,' ',1) AS feature, avg(p_retailprice) AS effect
+  FROM (SELECT *, CASE WHEN p_type IN {SAME_NAMES} THEN p_type ELSE 'X_'||p_type END AS genus FROM part) GROUP BY 1"""
 
 
 def external_table(spark, folder):
-    """A genus-level outside table: mean price per type and first word."""
-    kind = F.col("p_type")
-    return table(spark, folder, "part").filter(kind.isin("PROMO", "LARGE")).groupBy(
+    """A genus-level outside table: mean price per type and first word, over all parts."""
+    kind = F.when(F.col("p_type").isin(*SAME_NAMES), F.col("p_type")).otherwise(F.concat(F.lit("X_"), "p_type"))
+    return table(spark, folder, "part").groupBy(
         F.concat(F.lit("k__part|p__all|g__"), kind, F.lit("|s__"), kind, F.lit("_"),
                  F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))).alias("feature")).agg(
         F.avg("p_retailprice").alias("effect"))

@@ -315,7 +315,7 @@ def permuted_labels(spark, folder):
 
 CTE["free_draws"] = f"""SELECT p.perm, p.sample_id, v.age FROM (
   SELECT perm, sample_id, row_number() OVER (PARTITION BY perm ORDER BY {draw_sql(SEED, 'permute_age', 'perm', 'sample_id')}, sample_id) AS k
-  FROM samples, range(1,21) t(perm)) p JOIN (
+  FROM samples, range(1,{TERM_PERMUTATIONS + 1}) t(perm)) p JOIN (
   SELECT age, row_number() OVER (ORDER BY {draw_sql(SEED, 'order', 'sample_id')}, sample_id) AS k FROM samples) v ON v.k=p.k"""
 
 
@@ -325,7 +325,7 @@ FROM free_draws d JOIN samples s ON s.sample_id=d.sample_id GROUP BY 1,2""")
 def permuted_column(spark, folder):
     """A covariate shuffled over all samples, summarised by the cohort it lands in."""
     a = analysis(spark, folder)
-    return resample.permuted_column(a.samples, "age", 20, SEED).join(
+    return resample.permuted_column(a.samples, "age", TERM_PERMUTATIONS, SEED).join(
         a.samples.select("sample_id", "cohort"), "sample_id").groupBy("perm", "cohort").agg(
         F.count("value").alias("n"), rounded(F.sum("value"), 2).alias("total"), rounded(F.max("value"), 2).alias("top"))
 

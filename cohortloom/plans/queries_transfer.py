@@ -16,7 +16,8 @@ from .registry import analysis, register
 from .vectors import vector_profiles
 
 SEED = 20240501
-RANDOM_REPEATS = 20
+MATCHED_REPEATS = 500
+RANDOM_REPEATS = 20  # of the benchmark, which fits a model to each
 
 
 def _r(name: str, digits: int = 6):
@@ -346,7 +347,7 @@ SELECT CAST(repeat_id AS INTEGER) AS repeat_id, CAST(k AS INTEGER) AS rank, feat
  SELECT repeat_id, feature, row_number() OVER (PARTITION BY repeat_id ORDER BY
   {draw_sql(SEED, 'random_panel', 'repeat_id', 'feature')}, feature) AS k FROM retained, range(1,501) t(repeat_id)) WHERE k<=29""")
 def random_panels(spark, folder):
-    return panels.random_panels(analysis(spark, folder).features, 500, SEED).select("repeat_id", "rank", "feature")
+    return panels.random_panels(analysis(spark, folder).features, MATCHED_REPEATS, SEED).select("repeat_id", "rank", "feature")
 
 
 CTE["train_prev"] = """SELECT fold AS design_id, feature, avg(CASE WHEN value>0 THEN 1.0 ELSE 0.0 END) AS prevalence
@@ -362,7 +363,7 @@ CTE["match_rows"] = f"""SELECT *, CASE WHEN is_target=0 AND k<=coalesce(quota,0)
    row_number() OVER (PARTITION BY b.design_id, repeat_id, is_target, b.bin
     ORDER BY {draw_sql(SEED, 'matched_panel', 'b.design_id', 'repeat_id', 'b.feature')}, b.feature) AS k, quota
   FROM (SELECT *, CASE WHEN feature IN (SELECT feature FROM targets) THEN 1 ELSE 0 END AS is_target FROM prev_bins) b
-  CROSS JOIN range(1,{RANDOM_REPEATS + 1}) t(repeat_id)
+  CROSS JOIN range(1,{MATCHED_REPEATS + 1}) t(repeat_id)
   LEFT JOIN (SELECT design_id, bin, count(*) AS quota FROM prev_bins WHERE feature IN (SELECT feature FROM targets) GROUP BY 1,2) q
    ON q.design_id=b.design_id AND q.bin=b.bin)"""
 
@@ -383,7 +384,7 @@ def prevalence_matched_panels(spark, folder):
     a = analysis(spark, folder)
     bins = settle(panels.prevalence_bins(settle(panels.training_prevalence(a.samples, a.abundance, a.features))))
     targets = settle(panels.capped_panel(a.association, "targets", 29).select("feature"))
-    return panels.matched_random_panels(bins, targets, RANDOM_REPEATS, SEED).select(
+    return panels.matched_random_panels(bins, targets, MATCHED_REPEATS, SEED).select(
         F.col("design_id").alias("held_out"), "repeat_id", "rank", "feature", "from_bin")
 
 
