@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle
-from .rows import SLICE, finished
+from .rows import SLICE, WORD, finished
 
 GRAM = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -34,6 +34,7 @@ FREQUENT, MAX_FREQUENT = 256, 500_000
 RANGE_BYTES = 12_000_000  # text per range of members that one call sorts
 SUBSET_COST = 4  # a subset is moved and grouped, a list entry only read
 BLOCK = 64  # sets of a family that are tested together
+LIST_BLOCK = 512  # sets of a list whose subsets are enumerated together
 GROUP = 500  # followers of a leader that are tested together
 FLUSH = 4_000_000  # members a task packs at a time
 _BASE = 0x5851F42D4C957F2D
@@ -148,7 +149,7 @@ def frequent_members(docs: DataFrame, bits: int, ranges: int) -> np.ndarray:
             found = [(r, _pack(members[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
             return _batch(list(zip(*found)), schema)
 
-        for _, text in _texts(batches):
+        for _, text, _ in _texts(batches):
             shingles = shingler(text or "")
             if len(shingles) and (sig := signature(shingles)) not in seen:
                 seen.add(sig)
@@ -231,8 +232,7 @@ def scan(docs: DataFrame, frequent: np.ndarray, bits: int, ranges: int) -> DataF
         if out:
             yield _batch(list(zip(*out)), schema)
 
-    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    return finished(marked.mapInArrow(pack, _SCANNED))
+    return finished(docs.mapInArrow(pack, _SCANNED))
 
 
 def shared_members(scanned: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _members(data: bytes) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, family: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are linked.
+    """Linked pairs (a, b) that connect whatever the linked ones of ``pairs`` connect.
 
     Nodes of a family (those with one list leader) are cut into blocks of about
     BLOCK; a pair of blocks gets each of its sets once, however many pairs it tests.
@@ -303,12 +303,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, family: DataFrame) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, found = None, {}, []
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while parent[node] != node:
+                parent[node] = node = parent[parent[node]]
+            return node
+
         for key, a, b, data in _texts(batches):
             if key != unit:
-                unit, held = key, {}
+                unit, held, parent = key, {}, {}
             if b is None:
                 held[a] = _members(data)
-            elif linked(held[a], held[b]):
+                parent[a] = a
+            elif root(a) != root(b) and linked(held[a], held[b]):  # those already connected in this unit need no test
+                parent[root(b)] = root(a)
                 found.append((a, b))
                 if len(found) >= 1_000:
                     yield _batch(list(zip(*found)), schema)
@@ -348,13 +357,16 @@ def _contract(docs: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
     groups = stars.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     followers = stars.join(groups, "b").select("a", "b", "groups", F.lit(False).alias("leads"))
     both = followers.union(groups.select(F.col("b").alias("a"), "b", "groups", F.lit(True)))
-    wanted = both.join(sets.select(F.col("node").alias("a"), F.col("doc_id").alias("_doc"), "high", "low"), "a")
+    wanted = both.join(sets.select(F.col("node").alias("a"), F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "high", "low"), "a")
     moved, schema = "a bigint, b bigint, groups int, leads boolean, packed binary", _arrow("a bigint, b bigint")
     moved_schema = _arrow(moved)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, out = Shingler(), []
+        shingler, out, seen = Shingler(), [], set()
         for text, high, low, a, b, n, leads in _texts(batches):
+            if (a, b) in seen:  # rows equal in key and text
+                continue
+            seen.add((a, b))
             shingles = shingler(text or "")
             if signature(shingles) == (high, low):
                 out.append((a, b, n, leads, _short(shingles)))
@@ -372,7 +384,8 @@ def _contract(docs: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
             elif current == b and linked(_members(packed), held):
                 yield _batch([[a], [b]], schema)
 
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "high", "low", "a", "b", "groups", "leads")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
+    joined = docs.join(wanted, same).select("text", "high", "low", "a", "b", "groups", "leads")
     dealt = joined.mapInArrow(pack, moved).withColumn("group", F.explode(
         F.when(F.col("leads"), F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), F.col("groups")).cast("int")))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
@@ -385,8 +398,11 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = _arrow("node bigint, packed binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, out = Shingler(), []
+        shingler, out, seen = Shingler(), [], set()
         for text, node, high, low in _texts(batches):
+            if node in seen:  # rows equal in key and text
+                continue
+            seen.add(node)
             shingles = shingler(text or "")
             if signature(shingles) == (high, low):
                 out.append((node, _short(shingles)))
@@ -396,8 +412,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         if out:
             yield _batch(list(zip(*out)), schema)
 
-    wanted = nodes.select(F.col("doc_id").alias("_doc"), "node", "high", "low")
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "node", "high", "low")
+    wanted = nodes.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "node", "high", "low")
+    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("text", "node", "high", "low")
     return finished(joined.mapInArrow(work, "node bigint, packed binary"))
 
 
@@ -415,6 +431,16 @@ def _least(a: str, b: str):
     return F.greatest(F.lit(SUBSET), SUBSET - 1 + F.floor(F.least(a, b) / DEPTH), common - F.greatest(behind(a), behind(b), F.lit(0)) - 1)
 
 
+def _least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_least`` for arrays of sizes."""
+    def behind(n: np.ndarray) -> np.ndarray:
+        return -(-NUMERATOR * n // DENOMINATOR) - SUBSET - n // DEPTH
+
+    common = -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+    rest = np.maximum(np.maximum(behind(a), behind(b)), 0)
+    return np.maximum(np.maximum(SUBSET, SUBSET - 1 + np.minimum(a, b) // DEPTH), common - rest - 1)
+
+
 def _alike(a: str, b: str) -> object:
     return (DENOMINATOR * F.col(a) >= NUMERATOR * F.col(b)) & (DENOMINATOR * F.col(b) >= NUMERATOR * F.col(a))
 
@@ -440,28 +466,102 @@ def boundary(lists: DataFrame) -> int:
     return at
 
 
+def _blocked(small: DataFrame) -> DataFrame:
+    """Rows (member, left, right, side, node, n, label, m) of the units in which the subsets of a list are enumerated.
+
+    A list is cut into blocks of about LIST_BLOCK sets; a unit is a pair of its blocks, so no task holds a long list.
+    """
+    rows = small.withColumn("member", F.explode("m"))
+    blocks = rows.groupBy("member").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "member").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return (dealt.select("member", "block", "node", "n", "label", "m", other)
+            .select("member", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+                    (F.col("block") > F.col("other")).alias("side"), "node", "n", "label", "m"))
+
+
+def _first_shared(member: int, left: list[tuple], right: list[tuple], same: bool) -> list[tuple[int, int]]:
+    """The candidate pairs whose smallest shared prefix member is ``member``; rows are (node, n, label, m).
+
+    Every set stands in the bucket of each subset {member, y}; a pair is counted in the buckets it shares.
+    """
+    both = left if same else left + right
+    y = np.concatenate([np.asarray(r[3], np.int64) for r in both])
+    at = np.repeat(np.arange(len(both)), [len(r[3]) for r in both])
+    order = np.argsort(y, kind="stable")
+    y, at = y[order], at[order]
+    edges = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1], [True]]))
+    rows = len(left)
+    width = rows if same else len(right)
+    count, before = np.ones((rows, width), np.int32), np.zeros((rows, width), bool)
+    for start, stop in zip(edges[:-1], edges[1:]):
+        if stop - start < 2 or y[start] == member:
+            continue
+        i = j = at[start:stop]
+        if not same:
+            i, j = i[i < rows], j[j >= rows] - rows
+            if not len(i) or not len(j):
+                continue
+        if y[start] < member:
+            before[np.ix_(i, j)] = True
+        else:
+            count[np.ix_(i, j)] += 1
+    n, labels, nodes = (np.array([r[c] for r in both], np.int64) for c in (1, 2, 0))
+    second = slice(None) if same else slice(rows, None)
+    n_a, n_b = n[:rows, None], n[None, second]
+    fits = ~before & (labels[:rows, None] != labels[None, second]) & (count >= _least_shared(n_a, n_b))
+    fits &= (DENOMINATOR * n_a >= NUMERATOR * n_b) & (DENOMINATOR * n_b >= NUMERATOR * n_a)
+    if same:
+        fits = np.triu(fits, 1)
+    found = np.argwhere(fits)
+    pairs = np.sort(np.stack([nodes[:rows][found[:, 0]], nodes[second][found[:, 1]]], 1), 1)
+    return [(int(a), int(b)) for a, b in pairs]
+
+
+def _subset_pairs(small: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among small sets: each comes out once, at its smallest shared prefix member."""
+    schema = _arrow("a bigint, b bigint")
+
+    def enumerate_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sides = None, ([], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if unit is not None:
+                pairs = _first_shared(unit[0], *sides, same=unit[1] == unit[2])
+                if pairs:
+                    yield _batch(list(zip(*pairs)), schema)
+
+        for member, left, right, side, *row in _texts(batches):
+            if (member, left, right) != unit:
+                yield from close()
+                unit, sides = (member, left, right), ([], [])
+            sides[side].append(row)
+        yield from close()
+
+    parts = max(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), small.sparkSession.sparkContext.defaultParallelism)
+    unit = ["member", "left", "right"]
+    return _blocked(small).repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(enumerate_subsets, "a bigint, b bigint")
+
+
 def residual_pairs(lists: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of nodes in different groups, by the heavy-light split of ``lists``
     (member, node, n, label); lists whose nodes are all in one group are gone before."""
     mixed_ = lists.groupBy("member").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x != _y").select("member")
     lists = settle(lists.join(mixed_, "member"))
     size = boundary(lists)
-    small = (lists.filter(F.col("n") <= size).groupBy("node", "n", "label").agg(F.sort_array(F.collect_list("member")).alias("m")))
-    subsets = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.xxhash64(x, y))))
-    keyed = small.select("node", "n", "label", F.explode(subsets).alias("key"))
+    small = lists.filter(F.col("n") <= size).groupBy("node", "n", "label").agg(F.sort_array(F.collect_list("member")).alias("m"))
 
-    def meet(x: DataFrame, y: DataFrame, on: str, once: bool) -> DataFrame:
-        other = y.select(F.col(on), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = x.join(other, on).filter((F.col("label") != F.col("label_b")) & _alike("n", "n_b"))
+    def scanned(x: DataFrame, y: DataFrame, once: bool) -> DataFrame:
+        other = y.select("member", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+        pairs = x.join(other, "member").filter((F.col("label") != F.col("label_b")) & _alike("n", "n_b"))
         if once:
             pairs = pairs.filter(F.col("node") < F.col("b"))
-        k = _least("n", "n_b")
         return (pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-                .agg(F.count("*").alias("_c"), F.max(k * (k - 1) / 2 if on == "key" else k).alias("_k")).filter("_c >= _k").select("a", "b"))
+                .agg(F.count("*").alias("_c"), F.max(_least("n", "n_b")).alias("_k")).filter("_c >= _k").select("a", "b"))
 
     large = lists.filter(F.col("n") > size)
     near = lists.filter((F.col("n") <= size) & (DENOMINATOR * F.col("n") >= NUMERATOR * size))
-    return meet(keyed, keyed, "key", True).union(meet(large, large, "member", True)).union(meet(large, near, "member", False)).distinct()
+    return _subset_pairs(settle(small)).union(scanned(large, large, True)).union(scanned(large, near, False))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -482,23 +582,34 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: that with the smallest key (NULL keys last).
 
-    Rows without shingles stay; of rows equal in key and text one stays.
+    Rows without words are linked with nothing and all stay; of other rows equal in key and text one stays.
     """
-    first = _grouped(df, key, text).filter("first").select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"))
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = df.join(first, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left_semi")
-    return kept.withColumn("_mark", mark).dropDuplicates([key, "_mark"]).drop("_mark")
+    held, mark = (_unused(name, df) for name in ("key", "mark"))
+    first = _grouped(df, key, text).filter("first").select(F.col("doc_id").alias(held), F.col("mark").alias(mark))
+    marked = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    wordless = ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    kept = df.filter(~wordless).join(first, F.col(key).eqNullSafe(F.col(held)) & (marked == F.col(mark)), "left_semi")
+    return kept.withColumn(mark, marked).dropDuplicates([key, mark]).drop(mark).unionByName(df.filter(wordless))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
-    docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
+                     F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     bits = min(56, max(32, int(size).bit_length() + 10))
     ranges = max(1, size // RANGE_BYTES)
     scanned = scan(docs, frequent_members(docs, bits, ranges), bits, ranges)
     rows = scanned.filter(F.col("n").isNotNull()).select("uid", "doc_id", "mark", "n", "high", "low")
     sets = settle(rows.filter(F.col("n") > 0).groupBy("high", "low", "n").agg(
-        F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.count("*").alias("n_copies")))
+        F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"), F.min_by("mark", "uid").alias("mark"), F.count("*").alias("n_copies")))
     members = settle(rows.join(sets.select("high", "low", "node", "n_copies"), ["high", "low"], "left"))
     found = settle(shared_members(scanned).join(members.select("uid", "node", "n"), "uid").select("member", "node", "n").distinct())
     several = found.groupBy("member").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x != _y").select("member")

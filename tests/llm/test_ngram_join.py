@@ -89,3 +89,47 @@ def test_query_equals_its_sql(spark, duck, folder):
     df = registered.op4_ngram_join(spark, folder)
     want = duck.execute(f"SELECT {','.join(df.columns)} FROM ({ngram_join.SQL})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_each_candidate_pair_comes_out_once(spark, monkeypatch):
+    """Lists cut into many blocks: every pair with enough shared members, at its smallest shared one, and no other."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+    rng = random.Random(4)
+    sets = {node: (rng.randint(8, 14), rng.randrange(3), sorted(rng.sample(range(25), rng.randint(2, 9)))) for node in range(60)}
+    small = spark.createDataFrame([(node, *s) for node, s in sets.items()], "node bigint, n bigint, label bigint, m array<bigint>")
+    found = [(r.a, r.b) for r in ngram_join._subset_pairs(small).collect()]
+    least = lambda x, y: int(ngram_join._least_shared(np.array(x), np.array(y)))
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a][1] != sets[b][1]
+            and min(sets[a][0], sets[b][0]) * 100 >= 75 * max(sets[a][0], sets[b][0])
+            and len(set(sets[a][2]) & set(sets[b][2])) >= least(sets[a][0], sets[b][0])}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
+
+
+def test_sizes_needed_in_columns_and_arrays_agree(spark):
+    a, b = np.meshgrid(np.arange(1, 90), np.arange(1, 90))
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a.ravel(), b.ravel())], "a bigint, b bigint")
+    assert [r.k for r in df.select(ngram_join._least("a", "b").alias("k")).collect()] == ngram_join._least_shared(a, b).ravel().tolist()
+
+
+def test_many_near_threshold_sets_without_keys(rows):
+    """Copies of one text, all with NULL keys, changed so that some pairs link and most do not."""
+    rng = random.Random(6)
+    base = words(rng, 40)
+    docs = [(None, " ".join(base)), (1, " ".join(base[:-1]))]
+    for _ in range(400):
+        text = list(base)
+        for at in rng.sample(range(40), 2):
+            text[at] = f"z{rng.randint(0, 10 ** 6)}"
+        docs.append((None, " ".join(text)))
+    found = ngram_join.join(rows(*docs)).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(brute(docs), key=key)
+
+
+def test_deduplicated_keeps_wordless_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "", "x"), (None, None, "y"), (None, " ", "z"), (3, "a b c", "x"), (2, "a b c", "y"), (2, "a b c", "y")],
+                               "doc_id bigint, text string, _mark string")
+    df = df.withColumn("key", df["_mark"]).withColumn("mark", df["_mark"]).withColumn("_key", df["_mark"])
+    out = ngram_join.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r["_mark"]) for r in out.collect()) == [(0, "x"), (0, "y"), (0, "z"), (2, "y")]
