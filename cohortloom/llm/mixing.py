@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import draw, draw_sql
 from ..session import settle
-from .rows import WORD
+from .rows import WORD, unused
 
 MAX_REPEATS = 2.0
 BLOCK_DOCS = 4096
@@ -143,12 +143,13 @@ def mixed(df: DataFrame, max_repeats: float = MAX_REPEATS, key: str = "doc_id",
     planned = plan(docs, max_repeats)
     used = schedule(docs, planned).join(planned.select("source", "passes"), "source").filter(F.col("epoch") > F.col("passes"))
     cuts = used.groupBy("source").agg(F.max(_draw(F.col("epoch"), F.col("doc_id"))).alias("_cut"))
+    given, passes, cut, origin, copy = (unused(name, df) for name in ("given", "passes", "cut", "origin", "copy"))
     table = settle(planned.select("source", "passes").join(cuts, "source", "left").select(
-        F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.coalesce("_cut", F.lit(-1)).alias("_cut")))
-    last = (_draw(F.col("_passes") + 1, F.col(key)) <= F.col("_cut")).cast("bigint")
-    copies = F.array_repeat(F.lit(1), (F.col("_passes") + last).cast("int"))
-    joined = df.withColumn("_from", F.coalesce(F.col(source), F.lit(""))).join(table, F.col("_from") == F.col("_source"))
-    return joined.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in df.columns])
+        F.col("source").alias(given), F.col("passes").alias(passes), F.coalesce("_cut", F.lit(-1)).alias(cut)))
+    last = (_draw(F.col(passes) + 1, F.col(key)) <= F.col(cut)).cast("bigint")
+    copies = F.array_repeat(F.lit(1), (F.col(passes) + last).cast("int"))
+    joined = df.withColumn(origin, F.coalesce(F.col(source), F.lit(""))).join(table, F.col(origin) == F.col(given))
+    return joined.withColumn(copy, F.explode(copies)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 SQL = rf"""

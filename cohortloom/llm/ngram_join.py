@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import settle
-from .rows import SLICE, WORD, finished
+from .rows import SLICE, WORD, finished, unused
 
 GRAM = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -584,7 +584,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows without words are linked with nothing and all stay; of other rows equal in key and text one stays.
     """
-    held, mark = (_unused(name, df) for name in ("key", "mark"))
+    held, mark = (unused(name, df) for name in ("key", "mark"))
     first = _grouped(df, key, text).filter("first").select(F.col("doc_id").alias(held), F.col("mark").alias(mark))
     marked = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     wordless = ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
@@ -592,14 +592,6 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return kept.withColumn(mark, marked).dropDuplicates([key, mark]).drop(mark).unionByName(df.filter(wordless))
 
 
-def _unused(name: str, df: DataFrame) -> str:
-    """A column name like ``name`` that the table does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
                      F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))

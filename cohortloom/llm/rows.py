@@ -54,6 +54,14 @@ def finished(df: DataFrame) -> DataFrame:
     return out
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -74,3 +74,14 @@ def test_query_equals_its_sql_without_python(spark, duck, folder):
     assert "Python" not in (plan := df._jdf.queryExecution().toString()) and "Arrow" not in plan
     want = duck.execute(f"SELECT {','.join(df.columns)} FROM ({mixing.SQL})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_mixed_leaves_clashing_columns_alone(spark):
+    names = ["_source", "_from", "_passes", "_cut", "_copy", "given", "passes", "cut", "origin", "copy"]
+    df = spark.createDataFrame([(i, "a b c", "ab"[i % 4 == 0]) for i in range(40)], "doc_id bigint, text string, source string")
+    wide = df.select("*", *[df["doc_id"].alias(n) for n in names])
+    out = mixing.mixed(wide)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert all(r[n] == r["doc_id"] for r in rows for n in names)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in mixing.mixed(df).collect())
