@@ -56,22 +56,28 @@ class Words:
 
     Plain Latin words, in lower case, are encoded many to a call and told apart by
     the entries that carry the end mark; anything else is encoded by itself.
+    Before the cut, ASCII letters become lower case and a mark after a letter or
+    digit gets a space before it: the tokenizer does both, so its ids stay, and fewer
+    words differ.  Texts with combining marks (composed before letters are lowered)
+    or a special entry are cut as they are.
     """
 
     REMEMBERED, JOINED = 500_000, 512
     LETTERS, MARKS = frozenset(string.ascii_letters), frozenset(",.;:!?")
     PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    MARKED = "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:;=?@\\\\\\]^_`}~])"  # ASCII marks but the apostrophe, which may begin a word
 
     def __init__(self, coder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         suffix = json.loads(coder.to_str())["model"]["end_of_word_suffix"]
         vocabulary = coder.get_vocab()
         self.coder, self.known, self.last = coder, {}, np.zeros(max(vocabulary.values()) + 1, bool)
+        self.special = [a.content for a in coder.get_added_tokens_decoder().values()]
         self.last[[i for entry, i in vocabulary.items() if entry.endswith(suffix)]] = True
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's start."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        parts = pc.split_pattern(pc.replace_substring(self._loosened(pc.fill_null(texts, "")), "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
         place, values = coded.indices.to_numpy(), self._values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
@@ -79,6 +85,12 @@ class Words:
         ends = np.concatenate([[0], np.cumsum(each)])
         return flat[np.repeat(first[place] - ends[:-1], each) + np.arange(ends[-1])], ends[parts.offsets.to_numpy()]
 
+    def _loosened(self, texts: pa.Array) -> pa.Array:
+        left = pc.match_substring_regex(texts, "\\pM")
+        for entry in self.special:
+            left = pc.or_(left, pc.match_substring(texts, entry, ignore_case=True))
+        return pc.if_else(left, texts, pc.replace_substring_regex(pc.ascii_lower(texts), self.MARKED, "\\1 \\2"))
+
     def _values(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.REMEMBERED:
@@ -93,8 +105,8 @@ class Words:
         known.update(_encoded([*whole.difference(plain)], self._each))
         known.update([(w, known[w[:-1]] + known[w[-1]]) for w in cut])
         values = list(map(known.__getitem__, words))
-        for w in [w for w in new if len(w) > KEPT_LENGTH]:
-            del known[w]
+        for w in {w for part in (new, whole, low) for w in part if len(w) > KEPT_LENGTH}:
+            known.pop(w, None)
         return values
 
     def _each(self, words: list[str]) -> list[bytes]:

@@ -95,6 +95,15 @@ def test_words_are_encoded_as_the_whole_text(texts):
     assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == want
 
 
+def test_loosened_words_are_encoded_as_the_whole_text():
+    rng = random.Random(3)
+    bits = [*"aAzZéÉİıſK'’.,;:!?%&$#*|<>[](){}\"@/\\_-+=~^` \n\t019٣ǄΣσςHJ漢🙂", "\u030c", "\u0331", "\u0307", "J\u030c", "\r\n", "'s", "'LL",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(20_000)]
+    ids, at = segments.Words(CODER).of(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [e.ids for e in CODER.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_rows_are_packed_whole(rows):
     texts = [None, "", "  ", "Plain Words, HERE it's  a\n\n test", "<|endoftext|> and <|startoftext|>x", "日本語 😀 ÑANDÚ", "word " * 500, "ab" * 900, "é ﬁ ΑΣ ½", "Σ ΣΑΣ İ"]
     docs = [*enumerate(texts), (None, "no key"), (0, None), (3, texts[3])] + [(100 + i, "same") for i in range(50)]
