@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -33,6 +34,8 @@ from .segments import Segments, sliced
 TOP = 1 << 20
 #: Bytes of text worked on together, and links counted together.
 SLICE_BYTES, COUNTED = 2 << 20, 2 << 20
+#: Segments encoded as one text, and those that may be.
+JOINED, PLAIN = 512, re.compile("[!-~¡-ɏ]+").fullmatch
 SHIFT = 32  # a pair is a << SHIFT | b
 
 
@@ -73,16 +76,40 @@ class Pair:
         self.a_length, self.b_length = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.a_names, self.b_names = (np.array([f"{i}{end}" for end in ends for i in range(len(table))], object)
                                       for ends, table in ((",|", self.a_bytes), (",;", self.b_bytes)))
+        self.a_opens, self.b_opens = (np.array([x.startswith(b" ") for x in table]) for table in (self.a_bytes, self.b_bytes))
         self.segments = Segments(self._encode)
 
     def _encode(self, segments: list[str]) -> list[tuple]:
-        spaced, out = [" " + s for s in segments], []
-        a_bytes, b_bytes, a_code, b_code = self.a_bytes.__getitem__, self.b_bytes.__getitem__, np.dtype(self.a_type).char, np.dtype(self.b_type).char
-        for text, coded, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(segments, num_threads=1)):
-            a = coded.ids
-            same = b"".join(map(a_bytes, a)) == text.encode() == b"".join(map(b_bytes, b))
-            out.append((array(a_code, a).tobytes(), array(b_code, b).tobytes(), same))
-        return out
+        plain = [s for s in segments if PLAIN(s)]
+        done = dict(pair for i in range(0, len(plain), JOINED) for pair in self._joined(plain[i:i + JOINED]))
+        rest = [s for s in segments if s not in done]
+        done.update(zip(rest, self._each(rest)))
+        return [done[s] for s in segments]
+
+    def _joined(self, segments: list[str]) -> Iterator[tuple]:
+        """Values of segments encoded as one text, told apart by the tokens that begin with its spaces; halved where a
+        tokenizer does not give the text back or joins over a space, and what then stands alone is left out."""
+        text = " ".join(segments)
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.a_type)
+        b = np.array(self.b.encode(text), self.b_type)
+        at_a, at_b = np.flatnonzero(self.a_opens[a]), np.flatnonzero(self.b_opens[b])
+        if len(at_a) == len(at_b) == len(segments) and self._same(" " + text, a.tolist(), b.tolist()):
+            cut_a, cut_b = np.append(at_a, len(a)) * a.itemsize, np.append(at_b, len(b)) * b.itemsize
+            a, b, cut_a, cut_b = a.tobytes(), b.tobytes(), cut_a.tolist(), cut_b.tolist()
+            for s, i, j, k, n in zip(segments, cut_a, cut_a[1:], cut_b, cut_b[1:]):
+                yield s, (a[i:j], b[k:n], True)
+        elif len(segments) > 1:
+            half = len(segments) // 2
+            yield from self._joined(segments[:half])
+            yield from self._joined(segments[half:])
+
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == text.encode() == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _each(self, segments: list[str]) -> list[tuple]:
+        spaced, a_code, b_code = [" " + s for s in segments], np.dtype(self.a_type).char, np.dtype(self.b_type).char
+        coded = zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(segments, num_threads=1))
+        return [(array(a_code, a.ids).tobytes(), array(b_code, b).tobytes(), self._same(text, a.ids, b)) for text, a, b in coded]
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A and B ids of each text, none where the joined bytes of either differ from space + text."""

@@ -120,3 +120,15 @@ def test_rows_and_light_pairs(rows, monkeypatch):
 def test_query_equals_brute_force(spark, folder):
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert found(registered.op12_alignment(spark, folder)) == brute(docs)
+
+
+def test_joined_segments_equal_single_ones():
+    segments = list(dict.fromkeys(["½", "plain", "soft\u00adhyphen", "Ñandú.%%%", "<|endoftext|>", "<s>", "ĳ²", "a" * 900, "two  spaces", "日本", "x\ny",
+                                   *(f"word{i}," for i in range(1_200)), "ª", "last"]))
+    assert PAIR._encode(segments) == PAIR._each(segments)
+
+
+def test_halving_leaves_out_what_cannot_be_told_apart():
+    segments = [f"w{i}" for i in range(9)] + ["inner space", "x▁y", "end"]
+    found = dict(PAIR._joined(segments))
+    assert found == {s: v for s, v in zip(segments, PAIR._each(segments)) if s[0] != "i" and s[1] != "▁"}
