@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, draw_grid
 from ..functions.stats import ratio, signed_rank_exact
 from ..functions.stats import normal_two_sided
 from ..session import settle, spread
-from .ranking import class_rank_metrics, grouped_quantiles, row_numbers
+from .ranking import grouped_quantiles, row_numbers, running_totals
+
+PIECE = 1 << 16  # rows of a group, by index or by rank of the score, that one task counts together
+TOGETHER = 40  # replicates that one task counts together
 
 
 def permuted_column(samples: DataFrame, column: str, permutations: int, seed: int) -> DataFrame:
@@ -38,25 +44,127 @@ def bootstrap_auroc(scored: DataFrame, keys: Sequence[str], score: str, label: s
 
     Row j of a replicate takes the row whose index is a keyed draw modulo the
     group size; repeats become weights, one-class replicates are skipped.
+
+    No row exists per draw, and no task holds a group.  Tasks draw for PIECE rows and TOGETHER replicates at a time and
+    send two bytes a draw to the piece of indices it falls in; there draws become counts, which go on to the
+    piece of scores they belong to; there they are added up in order of the score.
     """
     keys = list(keys)
-    indexed = settle(row_numbers(
-        scored.select(*keys, row_key, score, label).withColumn("_d", draw(seed, "order", F.col(row_key))),
-        keys, "_d", row_key, "_i").drop("_d"))
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = (spread(indexed.join(sizes, keys), "_i")
-             .select(*keys, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-             .withColumn("_i", 1 + F.pmod(draw(seed, "bootstrap", *[F.col(k) for k in keys], F.col("replicate"),
-                                               F.col("_i")), F.col("_n")))
-             .groupBy(*keys, "replicate", "_i").agg(F.count(F.lit(1)).alias("_w")))
-    resampled = drawn.join(indexed.drop(row_key), [*keys, "_i"])
-    per_replicate = class_rank_metrics(resampled, [*keys, "replicate"], score, label, "_w")
-    valid = settle(per_replicate.filter("auroc IS NOT NULL"))
+    named = scored.select(*keys, row_key, score, label).filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys) or "true")
+    indexed = settle(row_numbers(named.withColumn("_d", draw(seed, "order", F.col(row_key))), keys, "_d", row_key, "_i").drop("_d"))
+    sizes = settle(indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.to_json(F.struct(*keys)))
+                   .withColumn("_head", F.concat_ws("|", F.lit(str(seed)), F.lit("bootstrap"), *[F.col(k).cast("string") for k in keys])))
+    below = running_totals(indexed.withColumn("_one", F.lit(1)), keys, score, ["_one"]).select(*keys, score, "_one_below")
+    side = F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0)
+    codes = (indexed.join(below, [*keys, score]).withColumn("_side", side).filter("_side IS NOT NULL")
+             .join(sizes.select(*keys, "_key"), keys)
+             .select("_key", F.floor((F.col("_i") - 1) / PIECE).cast("int").alias("_piece"),
+                     F.pmod(F.col("_i") - 1, F.lit(PIECE)).cast("int").alias("_at"), (F.col("_one_below") * 2 + F.col("_side")).alias("_code")))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // TOGETHER))).alias("_block")
+    lookup = (codes.groupBy("_key", "_piece").agg(F.collect_list(F.struct("_at", "_code")).alias("_c"))
+              .select("_key", "_piece", blocks, F.col("_c._at").alias("_ints"), F.col("_c._code").alias("_codes"), F.lit(None).cast("binary").alias("_bytes")))
+    units = (sizes.select("_key", "_head", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(PIECE).cast("bigint"))).alias("_first"))
+             .select("_key", "_head", "_n", "_first", blocks)
+             .withColumn("_unit", F.concat_ws("|", "_key", "_first", "_block")))
+    drawn = spread(units, "_unit").drop("_unit").mapInArrow(
+        _draws_by_piece(replicates), "_key string, _piece int, _block int, _ints array<int>, _codes array<bigint>, _bytes binary")
+    counted = drawn.unionByName(lookup).groupBy("_key", "_piece", "_block").applyInArrow(
+        _counts_by_score, "_key string, _block int, _part bigint, _codes array<int>, _width int, _bytes binary")
+    parts = settle(counted.groupBy("_key", "_block", "_part").applyInArrow(
+        _wins_of_part, "_key string, replicate int, _part bigint, _pos bigint, _neg bigint, _wins double"))
+    before = Window.partitionBy("_key", "replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = (parts.withColumn("_lower", F.coalesce(F.sum("_neg").over(before), F.lit(0)))
+              .groupBy("_key", "replicate").agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
+                                                F.sum(F.col("_wins") + F.col("_pos").cast("double") * F.col("_lower")).alias("_wins")))
+    valid = settle(summed.filter("n_pos > 0 AND n_neg > 0").join(sizes.select(*keys, "_key"), "_key").select(
+        *keys, "replicate", (F.col("_wins") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc")))
     interval = grouped_quantiles(valid, keys, "auroc", [0.025, 0.975])
     return (interval.join(valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("replicates_used")), keys)
             .withColumnsRenamed({"q0": "ci_low", "q1": "ci_high"}))
 
 
+def _draws_by_piece(replicates: int):
+    """Units (key, head, n, first row, block of replicates) to the draws that fall in each piece of indices: their
+    number per replicate and their places, two bytes each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in (u for batch in batches for u in batch.to_pylist()):
+            n, first, block = unit["_n"], unit["_first"], unit["_block"]
+            heads = [f"{unit['_head']}|{r}|" for r in range(block * TOGETHER + 1, min((block + 1) * TOGETHER, replicates) + 1)]
+            index = draw_grid(heads, [str(j) for j in range(first + 1, min(first + PIECE, n) + 1)])
+            index %= np.uint64(n)
+            if n > PIECE:
+                index.sort(axis=1)
+            edges = np.arange(0, n + PIECE, PIECE, dtype=np.uint64)
+            cuts = [np.searchsorted(row, edges) if n > PIECE else (0, len(row)) for row in index]
+            low = (index & np.uint64(PIECE - 1)).astype(np.uint16)
+            for piece in range(-(-n // PIECE)):
+                mine = [row[c[piece]:c[piece + 1]] for row, c in zip(low, cuts)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([unit["_key"]]), pa.array([piece], pa.int32()), pa.array([block], pa.int32()), pa.array([list(map(len, mine))], pa.list_(pa.int32())),
+                    pa.array([None], pa.list_(pa.int64())), pa.array([b"".join(m.tobytes() for m in mine)], pa.binary())],
+                    ["_key", "_piece", "_block", "_ints", "_codes", "_bytes"])
+    return run
+
+
+def _counts_by_score(table: pa.Table) -> pa.Table:
+    """Draws of a piece of indices, counted and dealt to the pieces of scores: codes (rank of the score, class) and a
+    count for each replicate and code."""
+    counts, place, code = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lengths, codes, places in zip(table["_ints"], table["_codes"], table["_bytes"]):
+        if codes.is_valid:
+            place, code = lengths.values.to_numpy(), codes.values.to_numpy()
+            continue
+        ends = np.concatenate([[0], np.cumsum(lengths.values.to_numpy())])
+        if counts is None:
+            counts = np.zeros((len(ends) - 1, PIECE), np.uint32)
+        flat = np.frombuffer(places.as_buffer(), np.uint16)
+        for r, (i, j) in enumerate(zip(ends, ends[1:])):
+            counts[r] += np.bincount(flat[i:j], minlength=PIECE).astype(np.uint32)
+    out = []
+    if counts is not None and len(code):
+        order = np.argsort(code, kind="stable")
+        code, ordered = code[order], counts[:, place[order]]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, ordered = code[first], np.add.reduceat(ordered, first, axis=1)
+        part = code // (2 * PIECE)
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for i, j in zip(edges, edges[1:]):
+            mine = ordered[:, i:j]
+            mine = mine.astype(np.min_scalar_type(int(mine.max())))
+            out.append((int(part[i]), (code[i:j] - part[i] * 2 * PIECE).astype(np.int32), mine.dtype.itemsize,
+                        pa.compress(mine.tobytes(), codec="zstd", asbytes=True)))
+    key, block = (table[c][0].as_py() for c in ("_key", "_block"))
+    parts, codes, widths, packed = zip(*out) if out else ((),) * 4
+    return pa.table({"_key": pa.array([key] * len(out), pa.string()), "_block": pa.array([block] * len(out), pa.int32()), "_part": pa.array(parts, pa.int64()),
+                     "_codes": pa.array(codes, pa.list_(pa.int32())), "_width": pa.array(widths, pa.int32()), "_bytes": pa.array(packed, pa.binary())})
+
+
+def _wins_of_part(table: pa.Table) -> pa.Table:
+    """Per replicate, the drawn cases and controls of a piece of scores, and the pairs in it that a case wins."""
+    pos = neg = None
+    for codes, width, packed in zip(table["_codes"], table["_width"], table["_bytes"]):
+        code, kind = codes.values.to_numpy(), np.dtype(f"u{width.as_py()}")
+        most = TOGETHER * len(code) * kind.itemsize
+        counts = np.frombuffer(_unpacked(packed.as_py(), most), kind).reshape(-1, len(code))
+        if pos is None:
+            pos, neg = (np.zeros((len(counts), PIECE), np.int32) for _ in range(2))
+        case = code % 2 == 1
+        pos[:, code[case] >> 1] += counts[:, case].astype(np.int32)
+        neg[:, code[~case] >> 1] += counts[:, ~case].astype(np.int32)
+    n, rows = len(pos), []
+    for p, q in zip(pos, neg):
+        p, q = p.astype(np.float64), q.astype(np.float64)
+        rows.append((int(p.sum()), int(q.sum()), float(p @ (np.cumsum(q) - q / 2))))
+    key, block, part = (table[c][0].as_py() for c in ("_key", "_block", "_part"))
+    n_pos, n_neg, wins = zip(*rows)
+    return pa.table({"_key": pa.array([key] * n), "replicate": pa.array(range(block * TOGETHER + 1, block * TOGETHER + n + 1), pa.int32()),
+                     "_part": pa.array([part] * n, pa.int64()), "_pos": pa.array(n_pos, pa.int64()), "_neg": pa.array(n_neg, pa.int64()), "_wins": pa.array(wins, pa.float64())})
+
+
+def _unpacked(packed: bytes, most: int) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed, max_output_size=most)
+
+
 def bootstrap_median(values: DataFrame, keys: Sequence[str], value: str, row_key: str, replicates: int,
                      seed: int) -> DataFrame:
     """Percentile interval of the median of a few paired differences per key."""

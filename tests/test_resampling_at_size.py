@@ -1,11 +1,12 @@
 import hashlib
 
 import numpy as np
+import pytest
 from planted import planted, tables
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw_grid
-from cohortloom.operators import permutation
+from cohortloom.operators import permutation, resample
 
 
 def test_draw_grid_is_md5():
@@ -37,3 +38,31 @@ def test_label_cuts_outside_the_window(spark, monkeypatch):
     want = {(r.sample_id, r.perm): r.label for r in permutation.permuted_labels(a.samples, 9, 3).collect()}
     monkeypatch.setattr(permutation, "WINDOW", -20.0)  # a window beside the cut: it is found all the same
     assert {(r.sample_id, r.perm): r.label for r in permutation.permuted_labels(a.samples, 9, 3).collect()} == want
+
+
+def test_bootstrap_auroc_over_pieces(spark, monkeypatch):
+    """Draws and scores cut into many pieces give what rows by rows give; before, a row was made for every draw."""
+    monkeypatch.setattr(resample, "PIECE", 16)
+    monkeypatch.setattr(resample, "TOGETHER", 7)
+    rng = np.random.default_rng(4)
+    rows = [(i, c, int(rng.random() < 0.4), None if i % 31 == 0 else float(rng.integers(0, 12)) if c == "ties" else float(rng.normal()))
+            for i, c in enumerate(["ties"] * 90 + ["apart"] * 75 + ["few"] * 3)]
+    scored = spark.createDataFrame(rows, "sample_id long, cohort string, condition int, score double")
+    got = {r.cohort: r for r in resample.bootstrap_auroc(scored, ["cohort"], "score", "condition", 30, 5).collect()}
+
+    def draw_of(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    for cohort in ("ties", "apart", "few"):
+        mine = sorted((r for r in rows if r[1] == cohort), key=lambda r: (draw_of(5, "order", r[0]), r[0]))
+        found = []
+        for k in range(1, 31):
+            drawn = [mine[draw_of(5, "bootstrap", cohort, k, j) % len(mine)] for j in range(1, len(mine) + 1)]
+            pos, neg = ([r[3] for r in drawn if r[2] == g and r[3] is not None] for g in (1, 0))
+            if pos and neg:
+                found.append(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
+        if found:
+            assert got[cohort].replicates_used == len(found)
+            assert (got[cohort].ci_low, got[cohort].ci_high) == pytest.approx(tuple(np.quantile(found, [0.025, 0.975])))
+        else:
+            assert cohort not in got
