@@ -66,3 +66,18 @@ def test_bootstrap_auroc_over_pieces(spark, monkeypatch):
             assert (got[cohort].ci_low, got[cohort].ci_high) == pytest.approx(tuple(np.quantile(found, [0.025, 0.975])))
         else:
             assert cohort not in got
+
+
+def test_rows_exploded_per_draw_are_not_broadcast(spark):
+    """Spark sizes exploded rows as those before the explode; ranked by draw, they went to the driver as the small side."""
+    samples = spark.range(2000).select(F.col("id").alias("sample_id"), (F.col("id") % 7).cast("double").alias("age"))
+    moved = resample.permuted_column(samples, "age", 200, 1)
+    assert len(moved.collect()) == 400_000
+    lines = moved._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join" in line and "strategy=merge" in line for line in lines)
+    plan = moved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            under = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("Generate" in below for below in plan[i:under])
