@@ -6,7 +6,7 @@ from planted import planted, tables
 from pyspark.sql import functions as F
 
 from cohortloom.functions.draws import draw_grid
-from cohortloom.operators import permutation, resample
+from cohortloom.operators import linear, permutation, resample
 
 
 def test_draw_grid_is_md5():
@@ -68,16 +68,30 @@ def test_bootstrap_auroc_over_pieces(spark, monkeypatch):
             assert cohort not in got
 
 
+def exploded_under_broadcast(df):
+    """Whether the plan that ran sent rows made by an explode to the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            under = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            if any("Generate" in below for below in plan[i:under]):
+                return True
+    return False
+
+
 def test_rows_exploded_per_draw_are_not_broadcast(spark):
     """Spark sizes exploded rows as those before the explode; ranked by draw, they went to the driver as the small side."""
     samples = spark.range(2000).select(F.col("id").alias("sample_id"), (F.col("id") % 7).cast("double").alias("age"))
     moved = resample.permuted_column(samples, "age", 200, 1)
     assert len(moved.collect()) == 400_000
-    lines = moved._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    assert any("Join" in line and "strategy=merge" in line for line in lines)
-    plan = moved._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
-    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
-    for i, line in enumerate(plan):
-        if "BroadcastExchange" in line:
-            under = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
-            assert not any("Generate" in below for below in plan[i:under])
+    assert not exploded_under_broadcast(moved)
+
+
+def test_permuted_terms_are_not_broadcast(spark):
+    samples = spark.range(2000).select(F.col("id").alias("sample_id"), F.lit("a").alias("cohort"), F.lit(1).alias("condition"),
+                                       F.array(F.lit(1.0), F.col("id").cast("double")).alias("z"))
+    moved = linear.permuted_terms(linear.Design(samples, ("const", "age_z"), ("const", "age")), "age", 200, 1, False)
+    rows = moved.collect()
+    assert not exploded_under_broadcast(moved)
+    assert len(rows) == 2000 and all(sorted(r.zp[p] for r in rows) == list(range(2000)) for p in (0, 199))
