@@ -15,7 +15,8 @@ from .resample import stratified_folds
 
 
 class TransferStudy:
-    """Panels evaluated on profiles ``(sample_id, cohort, condition, x)``.
+    """Panels evaluated on profiles ``(sample_id, cohort, condition, x)``, and ``fold`` if the samples have it:
+    then the arrays are not moved to meet it.
 
     ``names`` lists the features in the order of ``x``.  Panels are tables
     (panel, feature), with a ``repeat`` for random panels and a ``held_out``
@@ -24,9 +25,10 @@ class TransferStudy:
 
     def __init__(self, profiles: DataFrame, names: Sequence[str], seed: int = 42):
         self.names = list(names)
-        folds = stratified_folds(profiles.select("sample_id", "cohort", "condition"), seed).select("sample_id", "fold")
-        self.rows = settle(spread(
-            profiles.select("sample_id", "cohort", "condition", "x").join(folds, "sample_id"), "sample_id"))
+        if "fold" not in profiles.columns:
+            folds = stratified_folds(profiles.select("sample_id", "cohort", "condition"), seed).select("sample_id", "fold")
+            profiles = spread(profiles.join(folds, "sample_id"), "sample_id")
+        self.rows = settle(profiles.select("sample_id", "cohort", "condition", "x", "fold"))
         counts = self.rows.groupBy("cohort").agg(
             F.sum("condition").alias("n1"), F.count(F.lit(1)).alias("n")).collect()
         self.sizes = {r["cohort"]: (int(r["n1"]), int(r["n"] - r["n1"])) for r in counts}
