@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import vector_sum
+from .linear import matrix, vector_sum
 
 # Penalty of the classifier.
 L1_RATIO, INVERSE_STRENGTH = 0.5, 0.5
@@ -68,13 +69,17 @@ class Fitted:
     converged: bool = True
 
 
-def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.stack(batch["x"].to_numpy()), batch["condition"].to_numpy(float), batch["cohort"].to_numpy(object),
-            batch["fold"].to_numpy(int))
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (matrix(batch["x"]), batch["condition"].to_numpy().astype(float), np.array(batch["cohort"].to_pylist(), object),
+            batch["fold"].to_numpy())
+
+
+def _keyed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["key", "v"])
 
 
 def _sums_per_key(rows: DataFrame, partial, key: str = "key") -> list:
-    return rows.mapInPandas(partial, f"{key} int, v array<double>").groupBy(key).agg(
+    return rows.mapInArrow(partial, f"{key} int, v array<double>").groupBy(key).agg(
         vector_sum(F.col("v")).alias("v")).collect()
 
 
@@ -82,10 +87,10 @@ def _training_moments(rows: DataFrame, models: Sequence[Model]) -> dict[tuple, n
     """Per distinct split: [n, positives, column sums, column square sums]."""
     firsts = list({m.split: m for m in models}.values())
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
             x, y, cohort, fold = _arrays(batch)
             for i, m in enumerate(firsts):
@@ -93,7 +98,7 @@ def _training_moments(rows: DataFrame, models: Sequence[Model]) -> dict[tuple, n
                 part = np.concatenate([[keep.sum(), y[keep].sum()], x[keep].sum(0), (x[keep] ** 2).sum(0)])
                 sums[i] = part if i not in sums else sums[i] + part
         if sums:
-            yield pd.DataFrame({"key": list(sums), "v": list(sums.values())})
+            yield _keyed(sums)
 
     return {firsts[r["key"]].split: np.asarray(r["v"]) for r in _sums_per_key(rows, partial)}
 
@@ -102,11 +107,50 @@ def _soft(value: float, cut: float) -> float:
     return np.sign(value) * max(abs(value) - cut, 0.0)
 
 
+def _settled(h: np.ndarray, c: np.ndarray, start: np.ndarray, l1: float, l2: float) -> np.ndarray | None:
+    """The minimum of the quadratic model by solving for the columns in use, starting from those of ``start``.
+
+    On the way to a solution with other signs the best point at which a column
+    reaches zero is taken, and that column leaves; of the columns that would gain,
+    the first enters.  None if this does not end.
+    """
+    if h[0, 0] <= 1e-12:
+        return None
+    ridge, b = h + np.diag(np.append(0.0, np.full(len(start) - 1, l2))), start.copy()
+    on, sign = b != 0, np.sign(b)
+    on[0], sign[0] = True, 0.0
+
+    def objective(x: np.ndarray) -> float:
+        return x @ ridge @ x / 2 - c @ x + l1 * np.abs(x[1:]).sum()
+
+    for _ in range(20 * len(b)):
+        new = np.zeros(len(b))
+        new[on] = np.linalg.solve(ridge[np.ix_(on, on)], (c - l1 * sign)[on])
+        turned = np.flatnonzero(on & (sign != 0) & (np.sign(new) != sign))
+        if len(turned):
+            points = [np.where(np.arange(len(b)) == j, 0.0, b + (new - b) * (b[j] / (b[j] - new[j]))) for j in turned if b[j] != new[j]]
+            b = min([*points, new], key=objective)
+            on, sign = b != 0, np.sign(b)
+            on[0], sign[0] = True, 0.0
+            continue
+        b = new
+        rest = np.where(on, 0.0, c - h @ b)
+        gain = int(np.argmax(np.abs(rest)))
+        if abs(rest[gain]) <= l1 * (1 + 1e-9):
+            return b
+        on[gain], sign[gain] = True, np.sign(rest[gain])
+    return None
+
+
 def _next_weights(h: np.ndarray, c: np.ndarray, start: np.ndarray, l1: float, l2: float) -> np.ndarray:
-    """Coordinate descent on the quadratic model; column 0 is the free intercept."""
+    """Coordinate descent on the quadratic model, ended by a solve as soon as one settles; column 0 is the free intercept.
+
+    Sums grow with the samples and the penalty does not, so on columns that add up
+    to zero, as the CLR's do, descent alone needs the more sweeps the more samples there are.
+    """
     b = start.copy()
     hb = h @ b
-    for _ in range(500):
+    for sweep in range(500):
         moved = 0.0
         for j in range(len(b)):
             rest = c[j] - hb[j] + h[j, j] * b[j]
@@ -121,6 +165,8 @@ def _next_weights(h: np.ndarray, c: np.ndarray, start: np.ndarray, l1: float, l2
                 moved = max(moved, abs(step))
         if moved < 1e-10:
             break
+        if sweep in (1, 99) and (solved := _settled(h, c, b, l1, l2)) is not None:
+            return solved
     return b
 
 
@@ -164,10 +210,10 @@ def fit_models(rows: DataFrame, models: Sequence[Model], rounds: int = 25, toler
 
 
 def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float) -> DataFrame:
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
             x, y, cohort, fold = _arrays(batch)
             masks: dict[tuple, np.ndarray] = {}
@@ -180,17 +226,19 @@ def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float)
                     continue
                 z = np.empty((len(keep), len(m.columns) + 1))
                 z[:, 0] = 1.0
-                z[:, 1:] = (x[np.ix_(keep, m.columns)] - s["mean"]) / s["scale"]
+                np.subtract(x[np.ix_(keep, m.columns)], s["mean"], out=z[:, 1:])
+                z[:, 1:] /= s["scale"]
                 t = y[keep]
                 eta = z @ s["try"]
                 p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
                 cw = np.where(t == 1, s["w1"], s["w0"])
                 loss = float(np.sum(cw * (np.logaddexp(0.0, eta) - t * eta)))
-                zw = z * (cw * np.maximum(p * (1 - p), 1e-10))[:, None]
-                part = np.concatenate([[loss], z.T @ (cw * (t - p)), (zw.T @ z).ravel()])
+                slope = z.T @ (cw * (t - p))
+                z *= np.sqrt(cw * np.maximum(p * (1 - p), 1e-10))[:, None]
+                part = np.concatenate([[loss], slope, (z.T @ z).ravel()])
                 sums[key] = part if key not in sums else sums[key] + part
         if sums:
-            yield pd.DataFrame({"key": list(sums), "v": list(sums.values())})
+            yield _keyed(sums)
 
     starts = {k: s["try"] for k, s in active.items()}
 
@@ -205,7 +253,7 @@ def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float)
                 weights.append(_next_weights(h, h @ b + g, b, l1, l2))
             yield pd.DataFrame({"key": batch["key"], "objective": objective, "weights": weights})
 
-    summed = rows.mapInPandas(partial, "key int, v array<double>").groupBy("key").agg(vector_sum(F.col("v")).alias("v"))
+    summed = rows.mapInArrow(partial, "key int, v array<double>").groupBy("key").agg(vector_sum(F.col("v")).alias("v"))
     return summed.mapInPandas(solve, "key int, objective double, weights array<double>")
 
 
@@ -213,23 +261,24 @@ def predictions(rows: DataFrame, fitted: Sequence[Fitted]) -> DataFrame:
     """(key, sample_id, cohort, condition, probability) for every tested sample."""
     kind = rows.schema["sample_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
             x, y, cohort, fold = _arrays(batch)
-            ids = batch["sample_id"].to_numpy()
             for f in fitted:
                 test = np.flatnonzero(f.model.tests(cohort, fold))
                 if not len(test):
                     continue
                 z = (x[np.ix_(test, f.model.columns)] - f.mean) / f.scale
                 eta = np.clip(f.intercept + z @ f.weights, -500, 500)
-                yield pd.DataFrame({"key": np.full(len(test), f.model.key, np.int32), "sample_id": ids[test],
-                                    "cohort": cohort[test], "condition": y[test].astype(np.int32),
-                                    "probability": 1.0 / (1.0 + np.exp(-eta))})
+                at = pa.array(test)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(test), f.model.key, np.int32)), batch["sample_id"].take(at), batch["cohort"].take(at),
+                    pa.array(y[test].astype(np.int32)), pa.array(1.0 / (1.0 + np.exp(-eta)))], names)
 
-    return rows.mapInPandas(score, f"key int, sample_id {kind}, cohort string, condition int, probability double")
+    names = ["key", "sample_id", "cohort", "condition", "probability"]
+    return rows.mapInArrow(score, f"key int, sample_id {kind}, cohort string, condition int, probability double")
 
 
 def coefficient_table(rows: DataFrame, fitted: Sequence[Fitted], names: Sequence[str]) -> DataFrame:
