@@ -466,34 +466,61 @@ def boundary(lists: DataFrame) -> int:
     return at
 
 
-def _blocked(small: DataFrame) -> DataFrame:
-    """Rows (member, left, right, side, node, n, label, m) of the units in which the subsets of a list are enumerated.
+def _homes(small: DataFrame) -> DataFrame:
+    """The rows with ``home``: the member with the longest list a set stands in."""
+    rows = small.select("node", F.explode("m").alias("member"))
+    length = rows.groupBy("member").agg(F.count("*").alias("list"))
+    longest = rows.join(length, "member").groupBy("node").agg(F.max(F.struct("list", "member")).alias("_l"))
+    return settle(small.join(longest.select("node", F.col("_l.member").alias("home")), "node"))
 
-    A list is cut into blocks of about LIST_BLOCK sets; a unit is a pair of its blocks, so no task holds a long list.
-    """
-    rows = small.withColumn("member", F.explode("m"))
-    blocks = rows.groupBy("member").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "member").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return (dealt.select("member", "block", "node", "n", "label", "m", other)
-            .select("member", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-                    (F.col("block") > F.col("other")).alias("side"), "node", "n", "label", "m"))
 
+def _blocked(small: DataFrame) -> DataFrame:
+    """Rows (whole, member, left, right, side, node, n, label, home, m) of the units in which pairs of sets are counted.
 
-def _first_shared(member: int, left: list[tuple], right: list[tuple], same: bool) -> list[tuple[int, int]]:
-    """The candidate pairs whose smallest shared prefix member is ``member``; rows are (node, n, label, m).
+    Sets of one home meet once, in units of it (``whole``), however many lists they
+    share; a list is left with its pairs of different homes.  Homes and lists are cut
+    into blocks of about LIST_BLOCK sets and a unit is a pair of blocks, so no task
+    holds a long one; in a list the sets of its main home meet the others only.
+    """
+    own = _homes(small)
+    sized = (own.groupBy("home").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("label").alias("_x"), F.max("label").alias("_y"))
+             .filter("_x != _y").select("home", "blocks"))
+    whole = own.join(sized, "home").select(
+        F.lit(True).alias("whole"), F.col("home").alias("member"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+        (F.col("blocks") - 1).alias("last"), "node", "n", "label", "home", "m")
+
+    rows = own.withColumn("member", F.explode("m"))
+    lists = (rows.groupBy("member", "home").agg(F.count("*").alias("k")).groupBy("member")
+             .agg(F.max(F.struct("k", "home")).alias("main"), F.sum("k").alias("total"), F.count("*").alias("homes")).filter("homes > 1")
+             .select("member", F.when(F.col("total") > LIST_BLOCK, F.col("main")).alias("main"), "total")
+             .withColumn("rest", F.ceil((F.col("total") - F.coalesce("main.k", F.lit(0))) / LIST_BLOCK).cast("int"))
+             .withColumn("mains", F.ceil(F.coalesce("main.k", F.lit(0)) / LIST_BLOCK).cast("int")))
+    inside = F.coalesce(F.col("home") == F.col("main.home"), F.lit(False))
+    mark = F.xxhash64("node")
+    crossed = rows.join(lists, "member").select(
+        F.lit(False).alias("whole"), "member", F.when(inside, F.col("rest") + F.pmod(mark, F.col("mains"))).otherwise(F.pmod(mark, F.col("rest"))).cast("int").alias("block"),
+        F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1).alias("last"), "node", "n", "label", "home", "m")
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    return (whole.unionByName(crossed).select("whole", "member", "block", "node", "n", "label", "home", "m", other)
+            .select("whole", "member", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+                    (F.col("block") > F.col("other")).alias("side"), "node", "n", "label", "home", "m"))
+
+
+def _first_shared(member: int | None, left: list[tuple], right: list[tuple], same: bool) -> list[tuple[int, int]]:
+    """The candidate pairs of different homes whose smallest shared prefix member is ``member``, or, without one, all
+    candidate pairs; rows are (node, n, label, home, m).
 
     Every set stands in the bucket of each subset {member, y}; a pair is counted in the buckets it shares.
     """
     both = left if same else left + right
-    y = np.concatenate([np.asarray(r[3], np.int64) for r in both])
-    at = np.repeat(np.arange(len(both)), [len(r[3]) for r in both])
+    y = np.concatenate([np.asarray(r[4], np.int64) for r in both])
+    at = np.repeat(np.arange(len(both)), [len(r[4]) for r in both])
     order = np.argsort(y, kind="stable")
     y, at = y[order], at[order]
     edges = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1], [True]]))
     rows = len(left)
     width = rows if same else len(right)
-    count, before = np.ones((rows, width), np.int32), np.zeros((rows, width), bool)
+    count, before = np.full((rows, width), member is not None, np.int32), np.zeros((rows, width), bool)
     for start, stop in zip(edges[:-1], edges[1:]):
         if stop - start < 2 or y[start] == member:
             continue
@@ -502,15 +529,17 @@ def _first_shared(member: int, left: list[tuple], right: list[tuple], same: bool
             i, j = i[i < rows], j[j >= rows] - rows
             if not len(i) or not len(j):
                 continue
-        if y[start] < member:
+        if member is not None and y[start] < member:
             before[np.ix_(i, j)] = True
         else:
             count[np.ix_(i, j)] += 1
-    n, labels, nodes = (np.array([r[c] for r in both], np.int64) for c in (1, 2, 0))
+    n, labels, homes, nodes = (np.array([r[c] for r in both], np.int64) for c in (1, 2, 3, 0))
     second = slice(None) if same else slice(rows, None)
     n_a, n_b = n[:rows, None], n[None, second]
     fits = ~before & (labels[:rows, None] != labels[None, second]) & (count >= _least_shared(n_a, n_b))
     fits &= (DENOMINATOR * n_a >= NUMERATOR * n_b) & (DENOMINATOR * n_b >= NUMERATOR * n_a)
+    if member is not None:
+        fits &= homes[:rows, None] != homes[None, second]
     if same:
         fits = np.triu(fits, 1)
     found = np.argwhere(fits)
@@ -519,7 +548,7 @@ def _first_shared(member: int, left: list[tuple], right: list[tuple], same: bool
 
 
 def _subset_pairs(small: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among small sets: each comes out once, at its smallest shared prefix member."""
+    """Candidate pairs (a, b) among small sets: each comes out once, in its home or at its smallest shared prefix member."""
     schema = _arrow("a bigint, b bigint")
 
     def enumerate_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,19 +556,19 @@ def _subset_pairs(small: DataFrame) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if unit is not None:
-                pairs = _first_shared(unit[0], *sides, same=unit[1] == unit[2])
+                pairs = _first_shared(None if unit[0] else unit[1], *sides, same=unit[2] == unit[3])
                 if pairs:
                     yield _batch(list(zip(*pairs)), schema)
 
-        for member, left, right, side, *row in _texts(batches):
-            if (member, left, right) != unit:
+        for whole, member, left, right, side, *row in _texts(batches):
+            if (whole, member, left, right) != unit:
                 yield from close()
-                unit, sides = (member, left, right), ([], [])
+                unit, sides = (whole, member, left, right), ([], [])
             sides[side].append(row)
         yield from close()
 
     parts = max(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), small.sparkSession.sparkContext.defaultParallelism)
-    unit = ["member", "left", "right"]
+    unit = ["whole", "member", "left", "right"]
     return _blocked(small).repartition(parts, *unit).sortWithinPartitions(*unit).mapInArrow(enumerate_subsets, "a bigint, b bigint")
 
 

@@ -105,6 +105,22 @@ def test_each_candidate_pair_comes_out_once(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
 
 
+def test_sets_of_one_home_meet_once_and_not_in_every_list(spark, monkeypatch):
+    """op4, pipeline: near copies that share many long lists are copied to the blocks of one of them."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 8)
+    rng = random.Random(8)
+    sets = {node: (12, node, sorted([0] + rng.sample(range(1, 12), 9))) for node in range(64)}  # all in list 0
+    sets |= {100: (12, 100, list(range(1, 11)))}
+    small = spark.createDataFrame([(node, *s) for node, s in sets.items()], "node bigint, n bigint, label bigint, m array<bigint>")
+    moved = ngram_join._blocked(small)
+    members = sum(len(s[2]) for s in sets.values())
+    assert moved.count() < 64 * 8 + 2 * members  # 10 lists of about 50 sets, each set to 7 blocks in each, before
+    least = int(ngram_join._least_shared(np.array(12), np.array(12)))
+    found = [(r.a, r.b) for r in ngram_join._subset_pairs(small).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a][2]) & set(sets[b][2])) >= least}
+    assert len(found) == len(set(found)) and set(found) == want and any(b == 100 for _, b in want)
+
+
 def test_sizes_needed_in_columns_and_arrays_agree(spark):
     a, b = np.meshgrid(np.arange(1, 90), np.arange(1, 90))
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a.ravel(), b.ravel())], "a bigint, b bigint")
