@@ -75,6 +75,16 @@ def test_removed_bytes_equal_brute_force(rows, monkeypatch, seed, limit):
     assert sorted(result(suffix_dedup.remove(rows(*docs))), key=key) == sorted(brute(docs), key=key)
 
 
+def test_passages_of_over_50_words_go_by_their_bytes(rows):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    passages = [words(n) for n in range(51, 121)]
+    docs = [(2 * i + j, words(40) + a + p + z + words(40)) for i, p in enumerate(passages) for j, (a, z) in enumerate(("<>", "[]"))]
+    lost = {key: removed for key, _, removed, _, _ in result(suffix_dedup.remove(rows(*docs)))}
+    assert 0 < sum(len(p) < L for p in passages) < len(passages)
+    assert lost == {key: len(passages[key // 2]) * (len(passages[key // 2]) >= L) for key, _ in docs}
+
+
 def test_no_rows(rows):
     assert suffix_dedup.remove(rows((1, "x")).limit(0)).count() == 0
 
