@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cohortloom.llm import registered, suffix_dedup
 
@@ -60,7 +61,6 @@ def planted(rng):
 
 
 def result(df):
-    from pyspark.sql import functions as F
     return [(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), r.sha) for r in
             df.select("*", F.sha2("kept", 256).alias("sha")).collect()]
 
@@ -85,6 +85,24 @@ def test_passages_of_over_50_words_go_by_their_bytes(rows):
     assert lost == {key: len(passages[key // 2]) * (len(passages[key // 2]) >= L) for key, _ in docs}
 
 
+@pytest.mark.parametrize("heavy", [1, 1_000_000])
+def test_keys_joined_by_hash_or_broadcast_alone(rows, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(suffix_dedup, "CLASS_LIMIT", 2)
+    docs = planted(random.Random(4))
+    key = lambda r: tuple((x is None, x or 0) for x in r[:4]) + r[4:]
+    assert sorted(result(suffix_dedup.remove(rows(*docs))), key=key) == sorted(brute(docs), key=key)
+
+
+def test_rows_of_a_frequent_key_do_not_meet_in_one_task(spark):
+    table = spark.range(4000).repartition(4).select("id", F.when(F.col("id") < 1000, F.lit(7)).otherwise(F.col("id")).alias("anchor"))
+    groups = table.groupBy("anchor").agg(F.count("*").alias("n"))
+    found = suffix_dedup._among(table, groups, ["anchor"])
+    assert sorted(r.id for r in found.collect()) == list(range(4000))
+    tasks = found.filter("anchor = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 400
+
+
 def test_no_rows(rows):
     assert suffix_dedup.remove(rows((1, "x")).limit(0)).count() == 0
 
