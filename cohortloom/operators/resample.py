@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.draws import draw, draw_grid
+from ..functions.draws import Texts, by_length, draw, draw_grid
 from ..functions.stats import ratio, signed_rank_exact
 from ..functions.stats import normal_two_sided
 from ..session import settle, spread
@@ -18,17 +21,100 @@ from .ranking import grouped_quantiles, row_numbers, running_totals
 
 PIECE = 1 << 16  # rows of a group, by index or by rank of the score, that one task counts together
 TOGETHER = 40  # replicates that one task counts together
+PERMUTATIONS_A_TASK = 28  # permutations of all samples that one task makes
+DRAWS_TOGETHER = 1 << 24  # draws that it holds at once
 
 
-def permuted_column(samples: DataFrame, column: str, permutations: int, seed: int) -> DataFrame:
-    """(perm, sample_id, value): a column shuffled over all samples."""
-    base = samples.select("sample_id", F.col(column).alias("value"), F.lit(0).alias("_g")).withColumn(
-        "_d", draw(seed, "order", F.col("sample_id")))
-    indexed = settle(row_numbers(base, ["_g"], "_d", "sample_id", "_k").drop("_d", "_g"))
-    drawn = (spread(indexed, "sample_id").select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-             .withColumn("_d", draw(seed, f"permute_{column}", F.col("perm"), F.col("sample_id"))))
-    placed = row_numbers(drawn, ["perm"], "_d", "sample_id", "_k").drop("_d")
-    return placed.join(indexed.select("_k", "value"), "_k").select("perm", "sample_id", "value")
+def packed_pieces(rows: DataFrame, size: int) -> DataFrame:
+    """(_piece, _rows): rows numbered ``_k`` = 1, 2, ... in pieces of ``size``, each the bytes of one compressed table in that order."""
+    pieces = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("_piece", F.floor((F.col("_k") - 1) / size).cast("int")).repartition(pieces, "_piece").sortWithinPartitions("_k")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            table, sink = pa.Table.from_batches(held).drop_columns(["_k", "_piece"]).combine_chunks(), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_piece", "_rows"])
+
+        at, held = None, []
+        for batch in batches:
+            piece = batch["_piece"].to_numpy()
+            edges = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
+            for i, j in zip(edges, edges[1:]):
+                if i < j and held and piece[i] != at:
+                    yield out()
+                    held = []
+                if i < j:
+                    at = int(piece[i])
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(pack, "_piece int, _rows binary")
+
+
+def unpacked_piece(packed: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+def by_permutations(pieces: DataFrame, permutations: int, run: Callable[[int, int, list[pa.Table]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``run(first, last, pieces)`` for every PERMUTATIONS_A_TASK permutations, one task each, with all pieces in order.
+
+    The order of all samples under a permutation is found in one task from draws made there, so nothing is sent for a
+    draw; the packed samples are copied once for each task.
+    """
+    units = -(-permutations // PERMUTATIONS_A_TASK)
+    copies = pieces.withColumn("_unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1))))
+    dealt = copies.repartitionById(units, F.col("_unit")).sortWithinPartitions("_unit", "_piece").select("_unit", "_rows")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((unit.as_py(), packed) for batch in batches for unit, packed in zip(batch["_unit"], batch["_rows"]))
+        for unit, mine in groupby(rows, key=lambda row: row[0]):
+            yield from run(unit * PERMUTATIONS_A_TASK + 1, min((unit + 1) * PERMUTATIONS_A_TASK, permutations), [unpacked_piece(packed) for _, packed in mine])
+
+    return dealt.mapInArrow(task, schema)
+
+
+def draws_in_turn(seed: int, purpose: str, first: int, last: int, keys: Texts, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(perm, draws of all ``n`` keys) for the permutations from ``first`` to ``last``; DRAWS_TOGETHER are held at once."""
+    step = max(1, DRAWS_TOGETHER // max(n, 1))
+    for start in range(first, last + 1, step):
+        perms = range(start, min(start + step, last + 1))
+        yield from zip(perms, draw_grid([f"{seed}|{purpose}|{p}|" for p in perms], keys))
+
+
+def order_of(draws: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Places in the order of the draws, equal ones by id."""
+    order = np.argsort(draws)
+    ordered = draws[order]
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), draws))
+    return order
+
+
+def permuted_column(samples: DataFrame, column: str, permutations: int, seed: int, along: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(perm, *along, value): a column shuffled over all samples, each with the columns ``along`` of the sample it comes to.
+
+    A task makes the rows of its permutations; they move only if a later step needs it.
+    """
+    base = samples.select("sample_id", F.lit(0).alias("_g"), F.col(column).alias("_value"), *[F.col(c).alias(f"_along{i}") for i, c in enumerate(along)])
+    ordered = row_numbers(base.withColumn("_d", draw(seed, "order", F.col("sample_id"))), ["_g"], "_d", "sample_id", "_k").drop("_d", "_g")
+    pieces = settle(packed_pieces(settle(ordered.withColumn("_key", F.col("sample_id").cast("string"))), PIECE))
+    names = ["perm", *along, "value"]
+
+    def run(first: int, last: int, tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(tables).combine_chunks()
+        ids, value, keys = (table[c].combine_chunks() for c in ("sample_id", "_value", "_key"))
+        others, place = [table[f"_along{i}"].combine_chunks() for i in range(len(along))], np.empty(len(table), np.int64)
+        for perm, draws in draws_in_turn(seed, f"permute_{column}", first, last, by_length(keys), len(table)):
+            place[order_of(draws, ids)] = np.arange(len(table))
+            for i in range(0, len(table), PIECE):
+                got = value.take(pa.array(place[i:i + PIECE]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), perm, np.int32)), *[o.slice(i, len(got)) for o in others], got], names)
+
+    schema = StructType([StructField("perm", IntegerType()), *[StructField(c, samples.schema[c].dataType) for c in along], StructField("value", samples.schema[column].dataType)])
+    return by_permutations(pieces, permutations, run, schema)
 
 
 def empirical_p(null: DataFrame, observed: Column, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from planted import planted, tables
 from pyspark.sql import functions as F
@@ -95,3 +96,46 @@ def test_permuted_terms_are_not_broadcast(spark):
     rows = moved.collect()
     assert not exploded_under_broadcast(moved)
     assert len(rows) == 2000 and all(sorted(r.zp[p] for r in rows) == list(range(2000)) for p in (0, 199))
+
+
+def shuffled_rows(df):
+    """Rows that the plan of a collected table wrote to shuffles."""
+    seen, todo, total = set(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_permuted_column_moves_no_row_per_draw(spark, monkeypatch):
+    """Before, every sample and permutation was a row in three shuffles; now pieces of the samples are copied for blocks of permutations."""
+    monkeypatch.setattr(resample, "PIECE", 64)
+    samples = spark.range(500).select(F.col("id").alias("sample_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("cohort"),
+                                      F.when(F.col("id") % 5 > 0, F.col("id") * 1.5).alias("age"))
+    moved = resample.permuted_column(samples, "age", 60, 7, ["sample_id", "cohort"])
+    got = moved.collect()
+    assert 0 < shuffled_rows(moved) < 60  # 8 pieces for each of 3 blocks of permutations
+
+    def draw_of(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    values = [i * 1.5 if i % 5 else None for i in sorted(range(500), key=lambda i: draw_of(7, "order", i))]
+    want = {(p, i): v for p in range(1, 61) for i, v in zip(sorted(range(500), key=lambda i: draw_of(7, "permute_age", p, i)), values)}
+    assert {(r.perm, r.sample_id): r.value for r in got} == want and len(got) == len(want)
+    assert all(r.cohort == f"c{r.sample_id % 3}" for r in got)
+
+
+def test_equal_draws_are_ordered_by_id():
+    ids = pa.array([30, 4, 200, 1])
+    assert resample.order_of(np.array([5, 9, 5, 9], np.uint64), ids).tolist() == [0, 2, 3, 1]
+    assert resample.order_of(np.array([5, 9, 5, 9], np.uint64), pa.array(["30", "4", "200", "1"])).tolist() == [2, 0, 3, 1]
