@@ -22,7 +22,7 @@ from .ranking import grouped_quantiles, row_numbers, running_totals
 PIECE = 1 << 16  # rows of a group, by index or by rank of the score, that one task counts together
 TOGETHER = 40  # replicates that one task counts together
 PERMUTATIONS_A_TASK = 28  # permutations of all samples that one task makes
-DRAWS_TOGETHER = 1 << 24  # draws that it holds at once
+DRAWS_TOGETHER = 1 << 23  # draws that it holds at once
 
 
 def packed_pieces(rows: DataFrame, size: int) -> DataFrame:
@@ -54,12 +54,16 @@ def packed_pieces(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(pack, "_piece int, _rows binary")
 
 
-def unpacked_piece(packed: pa.BinaryScalar) -> pa.Table:
-    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+def unpacked(pieces: Sequence[pa.Buffer], *names: str) -> list[pa.Array]:
+    """Columns of packed pieces, one piece after another; the others are not expanded."""
+    found = [pa.ipc.open_stream(pieces[0]).schema.get_field_index(n) for n in names]
+    options = pa.ipc.IpcReadOptions(included_fields=found)
+    table = pa.concat_tables(pa.ipc.open_stream(p, options=options).read_all() for p in pieces)
+    return [table[n].combine_chunks() for n in names]
 
 
-def by_permutations(pieces: DataFrame, permutations: int, run: Callable[[int, int, list[pa.Table]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``run(first, last, pieces)`` for every PERMUTATIONS_A_TASK permutations, one task each, with all pieces in order.
+def by_permutations(pieces: DataFrame, permutations: int, run: Callable[[int, int, list[pa.Buffer]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``run(first, last, pieces)`` for every PERMUTATIONS_A_TASK permutations, one task each, with all packed pieces in order.
 
     The order of all samples under a permutation is found in one task from draws made there, so nothing is sent for a
     draw; the packed samples are copied once for each task.
@@ -71,7 +75,7 @@ def by_permutations(pieces: DataFrame, permutations: int, run: Callable[[int, in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((unit.as_py(), packed) for batch in batches for unit, packed in zip(batch["_unit"], batch["_rows"]))
         for unit, mine in groupby(rows, key=lambda row: row[0]):
-            yield from run(unit * PERMUTATIONS_A_TASK + 1, min((unit + 1) * PERMUTATIONS_A_TASK, permutations), [unpacked_piece(packed) for _, packed in mine])
+            yield from run(unit * PERMUTATIONS_A_TASK + 1, min((unit + 1) * PERMUTATIONS_A_TASK, permutations), [packed.as_buffer() for _, packed in mine])
 
     return dealt.mapInArrow(task, schema)
 
@@ -81,7 +85,9 @@ def draws_in_turn(seed: int, purpose: str, first: int, last: int, keys: Texts, n
     step = max(1, DRAWS_TOGETHER // max(n, 1))
     for start in range(first, last + 1, step):
         perms = range(start, min(start + step, last + 1))
-        yield from zip(perms, draw_grid([f"{seed}|{purpose}|{p}|" for p in perms], keys))
+        for perm, draws in zip(perms, list(draw_grid([f"{seed}|{purpose}|{p}|" for p in perms], keys))):
+            yield perm, draws
+            del draws  # so that the grid goes before the next is made
 
 
 def order_of(draws: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -103,13 +109,13 @@ def permuted_column(samples: DataFrame, column: str, permutations: int, seed: in
     pieces = settle(packed_pieces(settle(ordered.withColumn("_key", F.col("sample_id").cast("string"))), PIECE))
     names = ["perm", *along, "value"]
 
-    def run(first: int, last: int, tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        table = pa.concat_tables(tables).combine_chunks()
-        ids, value, keys = (table[c].combine_chunks() for c in ("sample_id", "_value", "_key"))
-        others, place = [table[f"_along{i}"].combine_chunks() for i in range(len(along))], np.empty(len(table), np.int64)
-        for perm, draws in draws_in_turn(seed, f"permute_{column}", first, last, by_length(keys), len(table)):
-            place[order_of(draws, ids)] = np.arange(len(table))
-            for i in range(0, len(table), PIECE):
+    def run(first: int, last: int, held: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+        keys = by_length(*unpacked(held, "_key"))
+        ids, value, *others = unpacked(held, "sample_id", "_value", *[f"_along{i}" for i in range(len(along))])
+        place = np.empty(len(ids), np.int64)
+        for perm, draws in draws_in_turn(seed, f"permute_{column}", first, last, keys, len(ids)):
+            place[order_of(draws, ids)] = np.arange(len(ids))
+            for i in range(0, len(ids), PIECE):
                 got = value.take(pa.array(place[i:i + PIECE]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), perm, np.int32)), *[o.slice(i, len(got)) for o in others], got], names)
 

@@ -139,3 +139,55 @@ def test_equal_draws_are_ordered_by_id():
     ids = pa.array([30, 4, 200, 1])
     assert resample.order_of(np.array([5, 9, 5, 9], np.uint64), ids).tolist() == [0, 2, 3, 1]
     assert resample.order_of(np.array([5, 9, 5, 9], np.uint64), pa.array(["30", "4", "200", "1"])).tolist() == [2, 0, 3, 1]
+
+
+def test_permuted_terms_of_many_pieces_follow_the_draws(spark):
+    """Columns of a term move together, within cohorts or over all samples; before, a row was made for every sample and permutation."""
+    rows = [(i, "ab"[i % 7 == 0], [1.0, float(i % 3 == 0), float(i % 3 == 1), i ** 0.5]) for i in range(400)]
+    samples = spark.createDataFrame(rows, "sample_id long, cohort string, z array<double>").withColumn("condition", F.lit(1))
+    design = linear.Design(samples, ("const", "kind_a", "kind_b", "age_z"), ("const", "kind", "kind", "age"))
+
+    def draw_of(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    for term, within, columns in (("kind", False, slice(1, 3)), ("age", True, slice(3, 4))):
+        got = {r.sample_id: r.zp for r in linear.permuted_terms(design, term, 40, 3, within).collect()}
+        for group in ("a", "b") if within else ("ab",):
+            mine = [i for i, cohort, _ in rows if cohort in group]
+            own = [rows[i][2][columns] for i in sorted(mine, key=lambda i: draw_of(3, "order", i))]
+            width = len(own[0])
+            for p in (1, 28, 29, 40):
+                for i, z in zip(sorted(mine, key=lambda i: draw_of(3, f"permute_{term}", p, i)), own):
+                    assert got[i][(p - 1) * width:p * width] == z
+
+
+def test_permutation_nulls_move_no_row_per_draw(spark):
+    rng = np.random.default_rng(2)
+    n, perms = 1500, 60
+    z = np.column_stack([np.ones(n), rng.integers(0, 2, n), rng.normal(size=n)])
+    x = rng.normal(size=(n, 4)) + z[:, 1:2]
+    base = spark.createDataFrame([(i, "ab"[i % 2], 1, z[i].tolist(), x[i].tolist()) for i in range(n)],
+                                 "sample_id long, cohort string, condition int, z array<double>, x array<double>")
+    design = linear.Design(base.select("sample_id", "cohort", "condition", "z"), ("const", "condition", "age_z"), ("const", "condition", "age"))
+    xz = z.T @ x
+    shares = linear.VarianceShares(design, z.T @ z, xz @ xz.T, float((x ** 2).sum()), n)
+    study = linear.PermutationStudy(shares, base.select("sample_id", "x"))
+    null = study.nulls([("condition", ["age"], True), ("age", ["condition"], False), ("bmi", ["age"], False)], perms, 3)
+    got = {(r.term, r.perm): r.pseudo_f for r in null.collect()}
+    assert 0 < shuffled_rows(null) < 4000  # 1,500 profiles, and a few rows for each piece and block of permutations; 180,000 before
+    assert len(got) == 3 * perms and all(got["bmi", p] is None for p in range(1, perms + 1))
+    for term, given, own, within in (("condition", "age", 1, True), ("age", "condition", 2, False)):
+        moved = {r.sample_id: r.zp for r in linear.permuted_terms(design, term, perms, 3, within).collect()}
+        for p in (1, 30, 60):
+            full = z.copy()
+            full[:, own] = [moved[i][p - 1] for i in range(n)]
+
+            def rss(d):
+                return ((x - d @ np.linalg.lstsq(d, x, rcond=None)[0]) ** 2).sum()
+
+            reduced = rss(np.delete(z, own, axis=1))
+            assert got[term, p] == pytest.approx((reduced - rss(full)) / (rss(full) / (n - 3)), rel=1e-7)
+    # with rows numbered before the profiles were made, nothing is joined again
+    again = linear.PermutationStudy(shares, linear.ordered_rows(design, 3).select("sample_id", "z", "_k").join(base.select("sample_id", "x"), "sample_id"))
+    assert {(r.term, r.perm): r.pseudo_f for r in again.nulls([("age", ["condition"], False)], perms, 3).collect()} == pytest.approx(
+        {k: v for k, v in got.items() if k[0] == "age"}, rel=1e-9)
