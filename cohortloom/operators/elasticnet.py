@@ -179,23 +179,24 @@ def fit_models(rows: DataFrame, models: Sequence[Model], rounds: int = 25, toler
     """
     moments = _training_moments(rows, models)
     l1, l2 = L1_RATIO / INVERSE_STRENGTH, (1 - L1_RATIO) / INVERSE_STRENGTH
+    splits: dict[tuple, dict] = {}
+    for split, v in moments.items():
+        if 0 < v[1] < v[0]:
+            n, width = v[0], (len(v) - 2) // 2
+            mean = v[2:2 + width] / n
+            spread = np.sqrt(np.maximum(v[2 + width:] / n - mean ** 2, 0.0))
+            spread = np.where(spread > 1e-9 * np.maximum(np.abs(mean), 1e-9), spread, 1.0)
+            splits[split] = {"mean": mean, "scale": spread, "n": int(n), "w1": n / (2 * v[1]), "w0": n / (2 * (n - v[1]))}
     live: dict[int, dict] = {}
     for m in models:
-        v = moments.get(m.split)
-        if v is None or v[1] == 0 or v[1] == v[0] or not m.columns:
-            continue
-        n, cols, width = v[0], list(m.columns), (len(v) - 2) // 2
-        mean = v[2:2 + width][cols] / n
-        spread = np.sqrt(np.maximum(v[2 + width:][cols] / n - mean ** 2, 0.0))
-        spread = np.where(spread > 1e-9 * np.maximum(np.abs(mean), 1e-9), spread, 1.0)
-        zero = np.zeros(len(cols) + 1)
-        live[m.key] = {"m": m, "mean": mean, "scale": spread, "n": int(n), "w1": n / (2 * v[1]), "w0": n / (2 * (n - v[1])),
-                       "try": zero, "at": zero, "best": np.inf, "done": False}
+        if m.split in splits and m.columns:
+            zero = np.zeros(len(m.columns) + 1)
+            live[m.key] = {"m": m, "try": zero, "at": zero, "best": np.inf, "done": False}
     for _ in range(rounds):
         active = {k: s for k, s in live.items() if not s["done"]}
         if not active:
             break
-        for row in _solve_round(rows, active, l1, l2).collect():
+        for row in _solve_round(rows, active, splits, l1, l2).collect():
             s = live[row["key"]]
             if row["objective"] > s["best"] * (1 + 1e-12) + 1e-12:
                 s["try"] = (s["at"] + s["try"]) / 2
@@ -206,36 +207,48 @@ def fit_models(rows: DataFrame, models: Sequence[Model], rounds: int = 25, toler
             s["done"] = bool(np.max(np.abs(s["try"] - s["at"])) < tolerance)
     for s in live.values():
         s["out"] = s["try"] if s["done"] else s["at"]  # "try" is not evaluated before it is settled
-    return [Fitted(s["m"], float(s["out"][0]), s["out"][1:], s["mean"], s["scale"], s["n"], s["done"]) for s in live.values()]
+    return [Fitted(m, float(s["out"][0]), s["out"][1:], facts["mean"][list(m.columns)], facts["scale"][list(m.columns)], facts["n"], s["done"])
+            for s in live.values() for m in [s["m"]] for facts in [splits[m.split]]]
+
 
+def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Columns by rows, standardised, with a last row of ones: a model takes the rows of its columns, and the last for its intercept."""
+    out = np.ones((x.shape[1] + 1, len(x)))
+    out[:-1] = ((x - mean) / scale).T
+    return out
 
-def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float) -> DataFrame:
+
+def _solve_round(rows: DataFrame, active: dict[int, dict], splits: dict[tuple, dict], l1: float, l2: float) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y, cohort, fold = _arrays(batch)
-            masks: dict[tuple, np.ndarray] = {}
+            shared: dict[tuple, tuple] = {}
             for key, s in active.items():
-                m = s["m"]
-                if m.split not in masks:
-                    masks[m.split] = np.flatnonzero(m.trains(cohort, fold))
-                keep = masks[m.split]
-                if not len(keep):
+                m, b = s["m"], s["try"]
+                if m.split not in shared:
+                    keep, facts = np.flatnonzero(m.trains(cohort, fold)), splits[m.split]
+                    zt, t = _standardised(x[keep], facts["mean"], facts["scale"]), y[keep]
+                    shared[m.split] = zt, t, np.where(t == 1, facts["w1"], facts["w0"]), {}
+                zt, t, cw, start = shared[m.split]
+                if not len(t):
                     continue
-                z = np.empty((len(keep), len(m.columns) + 1))
-                z[:, 0] = 1.0
-                np.subtract(x[np.ix_(keep, m.columns)], s["mean"], out=z[:, 1:])
-                z[:, 1:] /= s["scale"]
-                t = y[keep]
-                eta = z @ s["try"]
-                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
-                cw = np.where(t == 1, s["w1"], s["w0"])
-                loss = float(np.sum(cw * (np.logaddexp(0.0, eta) - t * eta)))
-                slope = z.T @ (cw * (t - p))
-                z *= np.sqrt(cw * np.maximum(p * (1 - p), 1e-10))[:, None]
-                part = np.concatenate([[loss], slope, (z.T @ z).ravel()])
+                at = np.array([len(zt) - 1, *m.columns])
+                if not b.any():  # all odds are even: the sums are those of the split's models on all columns
+                    if not start:
+                        start |= {"loss": np.log(2.0) * cw.sum(), "slope": zt @ (cw * (t - 0.5)), "cross": (zt * (cw / 4)) @ zt.T}
+                    loss, slope, cross = start["loss"], start["slope"][at], start["cross"][np.ix_(at, at)]
+                else:
+                    z = zt[at]
+                    eta = b @ z
+                    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+                    loss = float(np.sum(cw * (np.log1p(np.exp(-np.abs(eta))) + np.maximum(eta, 0.0) - t * eta)))
+                    slope = z @ (cw * (t - p))
+                    z *= np.sqrt(cw * np.maximum(p * (1 - p), 1e-10))
+                    cross = z @ z.T
+                part = np.concatenate([[loss], slope, cross[np.triu_indices(len(at))]])
                 sums[key] = part if key not in sums else sums[key] + part
         if sums:
             yield _keyed(sums)
@@ -248,7 +261,9 @@ def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float)
             for key, v in zip(batch["key"], batch["v"]):
                 b, v = starts[key], np.asarray(v)
                 p = len(b)
-                g, h = v[1:1 + p], v[1 + p:].reshape(p, p)
+                g, h = v[1:1 + p], np.zeros((p, p))
+                h[np.triu_indices(p)] = v[1 + p:]
+                h += np.triu(h, 1).T
                 objective.append(v[0] + l1 * np.abs(b[1:]).sum() + l2 / 2 * (b[1:] ** 2).sum())
                 weights.append(_next_weights(h, h @ b + g, b, l1, l2))
             yield pd.DataFrame({"key": batch["key"], "objective": objective, "weights": weights})
@@ -257,6 +272,15 @@ def _solve_round(rows: DataFrame, active: dict[int, dict], l1: float, l2: float)
     return summed.mapInPandas(solve, "key int, objective double, weights array<double>")
 
 
+def _probabilities(fit: Fitted, columns: np.ndarray) -> np.ndarray:
+    """Of every sample, given the columns of ``x``; added up in one order, so that equal samples tie wherever they lie in a batch."""
+    eta = np.full(columns.shape[1], fit.intercept)
+    for place, weight, mean, scale in zip(fit.model.columns, fit.weights, fit.mean, fit.scale):
+        if weight:
+            eta += (columns[place] - mean) / scale * weight
+    return 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+
+
 def predictions(rows: DataFrame, fitted: Sequence[Fitted]) -> DataFrame:
     """(key, sample_id, cohort, condition, probability) for every tested sample."""
     kind = rows.schema["sample_id"].dataType.simpleString()
@@ -270,17 +294,68 @@ def predictions(rows: DataFrame, fitted: Sequence[Fitted]) -> DataFrame:
                 test = np.flatnonzero(f.model.tests(cohort, fold))
                 if not len(test):
                     continue
-                z = (x[np.ix_(test, f.model.columns)] - f.mean) / f.scale
-                eta = np.clip(f.intercept + z @ f.weights, -500, 500)
                 at = pa.array(test)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(test), f.model.key, np.int32)), batch["sample_id"].take(at), batch["cohort"].take(at),
-                    pa.array(y[test].astype(np.int32)), pa.array(1.0 / (1.0 + np.exp(-eta)))], names)
+                    pa.array(y[test].astype(np.int32)), pa.array(_probabilities(f, x[test].T))], names)
 
     names = ["key", "sample_id", "cohort", "condition", "probability"]
     return rows.mapInArrow(score, f"key int, sample_id {kind}, cohort string, condition int, probability double")
 
 
+def rank_metrics(rows: DataFrame, fitted: Sequence[Fitted]) -> DataFrame:
+    """(key, auroc, average_precision) of every fit over its tested samples, as ``class_rank_metrics`` finds them from ``predictions``.
+
+    No row exists for a score: a task sends the sorted scores of its cases and controls for each fit as one compressed
+    row, and a task that ranks them holds those of one fit.
+    """
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, cohort, fold = _arrays(batch)
+            tests: dict[tuple, np.ndarray] = {}
+            for i in range(0, len(fitted), 256):
+                found = []
+                for f in fitted[i:i + 256]:
+                    if f.model.split not in tests:
+                        at = np.flatnonzero(f.model.tests(cohort, fold))
+                        tests[f.model.split] = np.ascontiguousarray(x[at].T), y[at] == 1
+                    xt, case = tests[f.model.split]
+                    if len(case):
+                        p = _probabilities(f, xt)
+                        found.append((f.model.key, int(case.sum()), int(len(case) - case.sum()), _packed_scores(p[case], p[~case])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                                                     ["key", "n1", "n0", "scores"])
+
+    def metrics(table: pa.Table) -> pa.Table:
+        sides = [_unpacked_scores(*row) for row in zip(table["n1"].to_pylist(), table["n0"].to_pylist(), table["scores"])]
+        case, control = (np.sort(np.concatenate(side)) for side in zip(*sides))
+        auroc = precision = None
+        if len(case) and len(control):
+            below, upto = (np.searchsorted(control, case, side) for side in ("left", "right"))
+            auroc = float((below + upto).sum() / 2 / (len(case) * len(control)))
+            hits = len(case) - np.searchsorted(case, case, "left")
+            precision = float(np.mean(hits / (hits + len(control) - below)))
+        return pa.table({"key": table["key"].slice(0, 1), "auroc": pa.array([auroc], pa.float64()), "average_precision": pa.array([precision], pa.float64())})
+
+    return (rows.mapInArrow(score, "key int, n1 int, n0 int, scores binary").groupBy("key")
+            .applyInArrow(metrics, "key int, auroc double, average_precision double"))
+
+
+def _packed_scores(case: np.ndarray, control: np.ndarray) -> bytes:
+    """Positive numbers in order, cases before controls, as compressed steps between their bit patterns."""
+    steps = np.diff(np.concatenate([np.sort(case), np.sort(control)]).view(np.uint64), prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_scores(n1: int, n0: int, packed: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed.as_buffer(), (n1 + n0) * 8, codec="zstd"), np.uint8).reshape(8, -1)
+    scores = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.float64)
+    return scores[:n1], scores[n1:]
+
+
 def coefficient_table(rows: DataFrame, fitted: Sequence[Fitted], names: Sequence[str]) -> DataFrame:
     """(panel, repeat, held_out, feature, weight) of every fit."""
     out = [(f.model.panel, f.model.repeat, f.model.cohort, names[c], float(w))

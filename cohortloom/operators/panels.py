@@ -85,14 +85,14 @@ def panel_overlap(panels: DataFrame, reference: DataFrame, keys: Sequence[str])
 
 
 def random_panels(features: DataFrame, repeats: int, seed: int, size: int = TOP_SIZE,
-                  purpose: str = "random_panel") -> DataFrame:
-    """``repeats`` panels of ``size`` features without replacement.
+                  purpose: str = "random_panel", keys: Sequence[str] = ()) -> DataFrame:
+    """``repeats`` panels of ``size`` features without replacement, for each of the ``keys`` that ``features`` has.
 
     The limit by rank keeps only ``size`` rows per repeat in each task.
     """
-    rows = features.select("feature", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat_id"))
-    drawn = rows.withColumn("_d", draw(seed, purpose, F.col("repeat_id"), F.col("feature")))
-    order = Window.partitionBy("repeat_id").orderBy("_d", "feature")
+    rows = features.select(*keys, "feature", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat_id"))
+    drawn = rows.withColumn("_d", draw(seed, purpose, *[F.col(k) for k in keys], F.col("repeat_id"), F.col("feature")))
+    order = Window.partitionBy(*keys, "repeat_id").orderBy("_d", "feature")
     return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size).drop("_d")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
 from ..session import settle, spread
-from .elasticnet import Fitted, Model, coefficient_table, fit_models, predictions
+from .elasticnet import Fitted, Model, coefficient_table, fit_models, predictions, rank_metrics
 from .ranking import class_rank_metrics
 from .resample import stratified_folds
 
@@ -47,8 +47,11 @@ class TransferStudy:
         self.scored = scored
         return scored
 
-    def leave_one_out(self, panels: DataFrame) -> DataFrame:
-        """Train on the other cohorts, test on the one left out."""
+    def leave_one_out(self, panels: DataFrame, keep_scores: bool = True) -> DataFrame:
+        """Train on the other cohorts, test on the one left out.
+
+        Without ``keep_scores`` no table of a row for each panel and sample is made: for many panels.
+        """
         models, facts = [], []
         total1, total0 = (sum(v[g] for v in self.sizes.values()) for g in (0, 1))
         for panel, repeat, only, columns in self._panels(panels):
@@ -64,8 +67,12 @@ class TransferStudy:
         table = self.rows.sparkSession.createDataFrame(
             facts, "key int, panel string, repeat int, panel_size int, held_out string, n_train long, n_test long, "
                    "n_test_case long, n_test_control long, status string")
-        scored = self._evaluate(models, table, ["panel", "repeat"])
-        metrics = class_rank_metrics(scored, ["key"], "probability", "condition").select("key", "auroc", "average_precision")
+        if keep_scores:
+            scored = self._evaluate(models, table, ["panel", "repeat"])
+            metrics = class_rank_metrics(scored, ["key"], "probability", "condition").select("key", "auroc", "average_precision")
+        else:
+            self.fitted, self.scored = fit_models(self.rows, models), None
+            metrics = rank_metrics(self.rows, self.fitted)
         return table.join(metrics, "key", "left").drop("key")
 
     def pairwise(self, panels: DataFrame, diagonal: str = "insample") -> DataFrame:
